@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.common import table
 
@@ -31,7 +32,27 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op5_source_mix, op6_url_rules)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.language_id import languages, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(_fold("doc_id", 4) != 2))
+    return languages(docs, model).withColumn("held_out", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(_fold("doc_id", 3) != 1)
+    return toxicity(docs, train(docs, labels)).withColumn("held_out", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)))
+
+
+def _fold(column: str, n: int) -> F.Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op5_source_mix, op6_url_rules, op8_language_id, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
