@@ -39,8 +39,14 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = BATCH_CHARS) -> Ite
         yield batch.slice(begin)
 
 
-def arrow_schema(ddl: T.StructType | str) -> pa.Schema:
-    return to_arrow_schema(ddl if isinstance(ddl, T.StructType) else T.StructType.fromDDL(ddl))
+_SIMPLE = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def arrow_schema(columns: T.StructType | str) -> pa.Schema:
+    """Of a schema, or of simple columns written as "name type, ..." (executors can't parse DDL)."""
+    if isinstance(columns, T.StructType):
+        return to_arrow_schema(columns)
+    return pa.schema([(name, _SIMPLE[kind]) for name, kind in map(str.split, columns.split(","))])
 
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, ddl: str, run: Callable[[list[str | None]], dict]) -> DataFrame:

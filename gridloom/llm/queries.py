@@ -20,6 +20,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.vector_links import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.mixture import mix
 
@@ -52,7 +58,7 @@ def _fold(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op5_source_mix, op6_url_rules, op8_language_id, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op8_language_id, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
