@@ -46,6 +46,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(docs, model).withColumn("held_out", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)))
 
 
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.toxicity import toxicity, train
 
@@ -58,7 +64,7 @@ def _fold(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op8_language_id, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op8_language_id, op9_jaccard_groups, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
