@@ -12,6 +12,12 @@ from gridloom.llm.common import table
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +70,7 @@ def _fold(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op8_language_id, op9_jaccard_groups, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op8_language_id, op9_jaccard_groups, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
