@@ -44,6 +44,12 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.sketches import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.language_id import languages, train
 
@@ -70,7 +76,7 @@ def _fold(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op8_language_id, op9_jaccard_groups, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op7_sketches, op8_language_id, op9_jaccard_groups, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
