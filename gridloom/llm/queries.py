@@ -32,6 +32,14 @@ def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.mixture import mix
 
@@ -76,7 +84,7 @@ def _fold(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_vector_links, op5_source_mix, op6_url_rules, op7_sketches, op8_language_id, op9_jaccard_groups, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_vector_links, op4_packing, op5_source_mix, op6_url_rules, op7_sketches, op8_language_id, op9_jaccard_groups, op10_toxicity)}
 
 SQL: dict[str, str] = {}
 
