@@ -96,6 +96,11 @@ class Cuts:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """A broadcast hint only where a count shows that the side stays under ``limit`` bytes; beyond it the join shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
 def components(spark: SparkSession, edges: DataFrame, cuts: Cuts, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): ``node, component`` with the smallest node reachable.
 

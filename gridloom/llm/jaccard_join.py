@@ -24,18 +24,20 @@ empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Cuts, arrow_schema, components, slices
+from gridloom.llm.common import Cuts, arrow_schema, broadcast_if_small, components, map_texts, slices
 from gridloom.llm.shingles import shingle_set
 
-SPREAD = "bucket int, kind int, ids binary, counts binary, data binary"
+SPREAD = "bucket int, chunk long, kind int, ids binary, counts binary, data binary"
 TASK_SHINGLES = 3_000_000
 PIVOTS = 12
 
@@ -58,9 +60,8 @@ def packed(ids: np.ndarray, sets: list[np.ndarray], buckets: int) -> Iterator[tu
         return
     h = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets < 65536 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, doc, low = bucket[order], doc[order], h[order].astype(np.uint32)
+    order, bucket = _in_buckets(h, buckets)
+    doc, low = doc[order], h[order].astype(np.uint32)
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
     for lo, hi in zip(edges[:-1], edges[1:]):
         d = doc[lo:hi]
@@ -71,13 +72,15 @@ def packed(ids: np.ndarray, sets: list[np.ndarray], buckets: int) -> Iterator[tu
 def _spread_texts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(SPREAD)
+        chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, 1):
                 ids = np.asarray(batch.column(0))
                 sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-                rows = [(b, 1, i, c, d) for b, i, c, d in packed(ids, sets, buckets)]
+                rows = [(b, chunk, 1, i, c, d) for b, i, c, d in packed(ids, sets, buckets)]
                 digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
-                rows.append((int(ids[0]) % buckets, 0, ids.tobytes(), np.array([len(s) for s in sets], np.int32).tobytes(), digests))
+                rows.append((chunk % buckets, chunk, 0, ids.tobytes(), np.array([len(s) for s in sets], np.int32).tobytes(), digests))
+                chunk += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select("id", "text").mapInArrow(run, SPREAD)
@@ -97,80 +100,141 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield now, rows
 
 
-def _frequencies(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, hashes for each id, and for each hash the number of documents that hold it."""
-    ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.int64)
-    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int32)
-    h = np.frombuffer(b"".join(r["data"] for r in rows), np.uint32)
+def _frequencies(h: np.ndarray) -> np.ndarray:
+    """For each value the number of its occurrences (a document holds a hash once)."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     edges = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
     df = np.empty(len(h), np.uint32)
     df[order] = np.repeat(np.diff(edges), np.diff(edges))
-    return ids, counts, df
+    return df
 
 
 def _screen(spread: DataFrame) -> DataFrame:
-    """``id, n, digest, shared``: partial rows for each document."""
+    """``id, n, digest, shared``: how many of a document's shingles others hold. Counts come back chunk by chunk."""
+    ddl = "chunk long, kind int, ids binary, counts binary, data binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("id long, n int, digest binary, shared long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(ddl)
         for _, rows in _by_bucket(batches):
-            for r in rows:
-                if r["kind"] == 0:
-                    ids, d = np.frombuffer(r["ids"], np.int64), r["data"]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(r["counts"], np.int32)), pa.array([d[k : k + 16] for k in range(0, len(d), 16)], pa.binary()), pa.array(np.zeros(len(ids), np.int64))], schema=schema)
+            out = [(r["chunk"], 0, r["ids"], r["counts"], r["data"]) for r in rows if r["kind"] == 0]
             rows = [r for r in rows if r["kind"] == 1]
             if rows:
-                ids, counts, df = _frequencies(rows)
-                shared = np.add.reduceat((df > 1).astype(np.int64), np.cumsum(counts) - counts)
-                hit = shared > 0
-                k = int(hit.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(shared[hit])], schema=schema)
+                df = _frequencies(np.frombuffer(b"".join(r["data"] for r in rows), np.uint32))
+                end = 0
+                for r in rows:
+                    counts = np.frombuffer(r["counts"], np.int32)
+                    begin, end = end, end + int(counts.sum())
+                    shared = np.add.reduceat((df[begin:end] > 1).astype(np.int32), np.cumsum(counts) - counts)
+                    hit = shared > 0
+                    out.append((r["chunk"], 1, np.frombuffer(r["ids"], np.int64)[hit].tobytes(), shared[hit].astype(np.int32).tobytes(), b""))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("id long, n int, digest binary, shared long")
+        for batch in batches:
+            for parts in batch.column(0).to_pylist():
+                total: Counter[int] = Counter()
+                for p in parts:
+                    if p["kind"] == 1:
+                        for i, c in zip(np.frombuffer(p["ids"], np.int64).tolist(), np.frombuffer(p["counts"], np.int32).tolist()):
+                            total[i] += c
+                own = next(p for p in parts if p["kind"] == 0)
+                ids, d = np.frombuffer(own["ids"], np.int64), own["data"]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(own["counts"], np.int32)), pa.array([d[k : k + 16] for k in range(0, len(d), 16)], pa.binary()), pa.array([total[i] for i in ids.tolist()], pa.int64())], schema=schema)
 
-    return spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, n int, digest binary, shared long")
+    counted = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, ddl)
+    gathered = counted.groupBy("chunk").agg(F.collect_list(F.struct("kind", "ids", "counts", "data")).alias("parts"))  # one batch of texts
+    return gathered.select("parts").mapInArrow(add, "id long, n int, digest binary, shared long")
 
 
-def _rarity(sets: DataFrame, buckets: int) -> DataFrame:
-    """``id, bucket, df``: for each document and bucket how many sets hold each of its hashes, in hash order."""
+CHUNKS = "chunk long, ids binary, counts binary, data binary"
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(SPREAD)
+
+def _chunks(sets: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """``chunk, ids, counts, data``: sets packed to about ``limit`` hashes a row (one set at least)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(CHUNKS)
+        number = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, 1):
-                rows = [(b, 1, i, c, d) for b, i, c, d in packed(np.asarray(batch.column(0)), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], buckets)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for batch in slices(whole, 1, 8 * limit):
+                data = batch.column(1).to_pylist()
+                counts = np.array([len(d) // 8 for d in data], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in (np.asarray(batch.column(0)).tobytes(), counts.tobytes(), b"".join(data)))], schema=schema)
+                number += 1
+
+    return sets.select("id", "set").mapInArrow(run, CHUNKS)
+
+
+def _of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Chunk number, ids, sizes and hashes, and the columns after them."""
+    for batch in batches:
+        for chunk, ids, counts, data, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            yield chunk, np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32), np.frombuffer(data, np.uint64), *rest
+
+
+def _unpacked(chunks: DataFrame) -> DataFrame:
+    """``id, set`` of packed sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("id long, set binary")
+        for _, ids, counts, h in _of_chunks(batches):
+            ends = np.cumsum(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([h[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary())], schema=schema)
+
+    return chunks.select("chunk", "ids", "counts", "data").mapInArrow(run, "id long, set binary")
+
+
+def _in_buckets(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by bucket, and the buckets in that order."""
+    bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets < 65536 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
+def _rarity(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, bucket, df``: how many sets hold each hash of a chunk, bucket by bucket, in the chunk's order."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("chunk long, bucket int, data binary")
+        for chunk, _, _, h in _of_chunks(batches):
+            order, bucket = _in_buckets(h, buckets)
+            low = h[order].astype(np.uint32)
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            parts = [(chunk, int(bucket[a]), low[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*parts), schema)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("id long, bucket int, df binary")
+        schema = arrow_schema("chunk long, bucket int, df binary")
         for bucket, rows in _by_bucket(batches):
-            ids, counts, df = _frequencies(rows)
-            ends = np.cumsum(counts)
-            parts = [df[e - c : e].tobytes() for e, c in zip(ends, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), bucket, np.int32)), pa.array(parts, pa.binary())], schema=schema)
+            df = _frequencies(np.frombuffer(b"".join(r["data"] for r in rows), np.uint32))
+            ends = np.cumsum([len(r["data"]) // 4 for r in rows])
+            parts = [df[e - len(r["data"]) // 4 : e].tobytes() for e, r in zip(ends, rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows]), pa.array(np.full(len(rows), bucket, np.int32)), pa.array(parts, pa.binary())], schema=schema)
 
-    return sets.select("id", "set").mapInArrow(spread, SPREAD).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id long, bucket int, df binary")
+    return chunks.mapInArrow(spread, "chunk long, bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "chunk long, bucket int, df binary")
 
 
-def _prefixes(sets: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
+def _prefixes(chunks: DataFrame, rarity: DataFrame, buckets: int, percent: int) -> DataFrame:
     """``h, id``: the shared shingles of each set's prefix, rarest first."""
-    parts = rarity.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "df"))).alias("parts")).select("id", F.transform("parts", lambda p: p["df"]).alias("parts"))
+    parts = rarity.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "df"))).alias("parts")).select("chunk", F.transform("parts", lambda p: p["df"]).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("h long, id long")
-        for batch in batches:
-            hs, ids = [], []
-            for i, s, p in zip(*(c.to_pylist() for c in batch.columns)):
-                h, df = np.frombuffer(s, np.uint64), np.frombuffer(b"".join(p), np.uint32)
-                first = np.lexsort((h, df))[: prefix_length(len(h), percent)]
-                first = first[df[first] > 1]
-                hs.append(h[first].view(np.int64))
-                ids.append(np.full(len(first), i, np.int64))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids))], schema=schema)
+        for _, ids, counts, h, parts in _of_chunks(batches):
+            df = np.empty(len(h), np.uint32)
+            df[_in_buckets(h, buckets)[0]] = np.frombuffer(b"".join(parts), np.uint32)
+            hs, docs = [], []
+            for i, e, c in zip(ids, np.cumsum(counts), counts):
+                own, f = h[e - c : e], df[e - c : e]
+                first = np.lexsort((own, f))[: prefix_length(int(c), percent)]
+                first = first[f[first] > 1]
+                hs.append(own[first].view(np.int64))
+                docs.append(np.full(len(first), i, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(docs))], schema=schema)
 
-    return sets.select("id", "set").join(parts, "id").select("id", "set", "parts").mapInArrow(run, "h long, id long")
+    return chunks.join(parts, "chunk").select("chunk", "ids", "counts", "data", "parts").mapInArrow(run, "h long, id long")
 
 
 # -- inside a task ----------------------------------------------------------------------------------
@@ -331,12 +395,12 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, id_col: st
     equal = counted.filter((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).select("id", "n", "digest")
     reps = equal.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     reps = cuts.write(reps)
-    sets = cuts.write(_sets_of(known, reps.select(F.col("rep").alias("id"), "digest"), size))
-    rarity = _rarity(sets, buckets)
-    prefixes = cuts.write(_prefixes(sets, rarity, percent))
+    wanted = broadcast_if_small(reps.select(F.col("rep").alias("id"), "digest"), reps.count(), 100)
+    chunks = cuts.write(_chunks(_sets_of(known, wanted, size)))
+    prefixes = cuts.write(_prefixes(chunks, _rarity(chunks, buckets), buckets, percent))
     least = prefixes.groupBy("h").agg(F.min("id").alias("m"), F.count("*").alias("c")).filter("c > 1")
     islands = components(spark, prefixes.join(least, "h").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")), cuts)
-    regions = cuts.write(sets.join(islands, sets["id"] == islands["node"]).select(F.col("component").alias("region"), "id", "set"))
+    regions = cuts.write(_unpacked(chunks).join(islands, F.col("id") == F.col("node")).select(F.col("component").alias("region"), "id", "set"))
     links = metric_join(cuts, regions, percent)
     comp = components(spark, links, cuts)
     member = equal.join(reps.filter("w > 1"), ["n", "digest"]).select("id", "rep").filter("id <> rep")  # copies of a representative
@@ -345,8 +409,6 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, id_col: st
         .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     )
-    from gridloom.llm.common import map_texts
-
     nameless = map_texts(rows.filter("id is null"), "id", "text", "n_shingles long", lambda ts: {"n_shingles": [len(shingle_set(t, size)) for t in ts]})
     return out.union(nameless.select(F.col("id").alias(id_col), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
