@@ -92,15 +92,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     order = cuts.write(_next_of(cuts, rows))
     base = str(BASE)
+    # both joins read one exchange of the texts by id
+    named, nameless = rows.filter("id IS NOT NULL"), rows.filter("id IS NULL")
     following = (
-        rows.join(order, "id").filter(F.xxhash64("t") == F.col("th"))
+        named.join(order, "id").filter(F.xxhash64("t").bitwiseXOR(F.col("th")) == 0)  # not a second join key, which would deal the texts anew
         .select(F.col("before").alias("id"), F.substring("t", F.lit(1), F.col("reach")).alias("head"), digests(F.col("t")).alias("b"))
         .dropDuplicates(["id"])
     )
     n = F.char_length("t")
     quarter = F.floor(n / 4).cast("int")
     joined = (
-        rows.join(following, "id", "left")
+        named.join(following, "id", "left").unionByName(nameless, allowMissingColumns=True)
         .withColumn("n_chars", n.cast("long"))
         .withColumn("edited", F.concat(F.substring("t", F.lit(1), n - quarter), F.coalesce(F.substring("head", F.lit(1), quarter), F.lit(""))))
         .withColumn("a", digests(F.col("t")))
