@@ -18,6 +18,7 @@ row; other columns are dropped; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,14 +33,18 @@ from gridloom.llm.token_counts import load
 
 CAPACITY = 4096
 GROUP_DOCS, GROUP_TOKENS = 2048, 1_200_000
-CACHE_WORDS, CACHE_LENGTH = 600_000, 48
+CACHE_WORDS, CACHE_LENGTH = 1_200_000, 48
+#: Letters that keep their length and place under lower-casing and composition.
+_BETWEEN = "•"  # not among them, and never part of a token of theirs
+_PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
 
 
 class WordIds:
     """Little-endian 32-bit ids of texts, word by word."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        sign = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.tokenizer, self.known, self.between = tokenizer, {}, sign[0] if len(sign) == 1 else -1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
@@ -47,17 +52,42 @@ class WordIds:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known = {w: self.known[w] for w in words & self.known.keys()}
         new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        if any(len(w) > CACHE_LENGTH for w in new):
-            for w in new:
-                if len(w) > CACHE_LENGTH:
-                    del self.known[w]
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del self.known[w]
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words. Those of plain European letters go through together, told apart by a sign between them."""
+        plain, rest = [], []
+        for w in words:
+            (plain if w and "<|" not in w and (w.isascii() and w.isprintable() or _PLAIN.fullmatch(w)) else rest).append(w)
+        for at in range(0, len(plain), 4000):
+            part = plain[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids.view(np.int32) == self.between)
+            if len(cut) != len(part) - 1:  # a vocabulary without a token of its own for it
+                rest += part
+                continue
+            raw, begin, end = ids.tobytes(), [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(begin, end)]))
+        for at in range(0, len(rest), 4000):
+            part = rest[at : at + 4000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(vocabulary: str) -> WordIds:
+    """One per process: a worker's later tasks know the words of its earlier ones."""
+    if vocabulary not in _WORDS:
+        _WORDS[vocabulary] = WordIds(load(vocabulary))
+    return _WORDS[vocabulary]
+
 
 def differencing(sizes: list[int], windows: int) -> np.ndarray:
     """The window of each piece: Karmarkar-Karp for ``windows`` parts."""
@@ -161,7 +191,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CA
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, words = arrow_schema(schema), WordIds(load(vocabulary))
+        arrow, words = arrow_schema(schema), word_ids(vocabulary)
         next_id = TaskContext.get().partitionId() << 32
         held_ids: list[pa.Array] = []
         held: list[bytes] = []
