@@ -33,7 +33,7 @@ from gridloom.llm.token_counts import load
 
 CAPACITY = 4096
 GROUP_DOCS, GROUP_TOKENS = 2048, 1_200_000
-CACHE_WORDS, CACHE_LENGTH = 1_200_000, 48
+CACHE_WORDS, CACHE_LENGTH = 2_500_000, 48
 #: Letters that keep their length and place under lower-casing and composition.
 _BETWEEN = "•"  # not among them, and never part of a token of theirs
 _PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
