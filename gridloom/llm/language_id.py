@@ -191,10 +191,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 
 def train(docs: DataFrame, sample: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
     """Fits on at most ``sample`` labelled rows, the smallest hashes of their ids, with whole texts."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = labelled.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
+    chosen = labelled.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most ``sample`` ids: broadcast; then one text for each
-    rows = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).groupBy("id").agg(F.min(F.struct(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))).alias("r"))
+    rows = labelled.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r"))
     rows = rows.select("id", "r.lang", "r.text").orderBy("id").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 

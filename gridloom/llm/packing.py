@@ -6,7 +6,7 @@ each document. Pieces of ``capacity`` ids are cut off as full windows; what is l
 documents is spread over windows at once: partial partitions, at first one piece each, are merged two at a
 time, those with the largest spread first, the fullest window of one with the emptiest of the other, which
 gives near-equal sums. The window count starts at the least possible and rises while a window exceeds
-the capacity. A group too small to fill its windows (the end of a partition) first gives up a tail, cut into
+the capacity; where large pieces leave gaps, they are halved. A group too small to fill its windows (the end of a partition) first gives up a tail, cut into
 windows of powers of two, which need no padding.
 
 A task groups the rows it reads, so nothing is shuffled and no key gathers rows.
@@ -158,7 +158,11 @@ def pack(lengths: list[int], capacity: int = CAPACITY, dense: float = 0.99) -> l
             tail -= cut
         sequences += powers(taken)
     if pieces:
+        least, size = -(-sum(p[2] for p in pieces) // capacity), capacity // 2
         at = spread([p[2] for p in pieces], capacity)
+        while at.max() + 1 > least / dense + 1 and size >= 64:  # large pieces leave gaps: halve them
+            pieces = [q for doc, start, n in pieces for q in ([(doc, start, n // 2), (doc, start + n // 2, n - n // 2)] if n > size else [(doc, start, n)])]
+            at, size = spread([p[2] for p in pieces], capacity), size // 2
         own: dict[int, list] = {}
         for w, p in zip(at.tolist(), pieces):
             own.setdefault(w, []).append(p)
