@@ -104,6 +104,19 @@ def unicode_to_ascii(text: Column) -> Column:
     return F.translate(t, "&¼½]_", "-(),;")
 
 
+def decode_mojibake(token: Column, small: tuple[str, ...] = ("blocks", "ltd", "trg", "pvt", "dept", "sub", "respectively")) -> Column:
+    """English typed in a legacy font's slots, where its letters come out cased like English; else the token as it is."""
+
+    def judged(d: Column) -> Column:
+        parts = F.filter(F.split(d, "[^A-Za-z]+"), lambda p: p != "")
+        vowels = lambda p: F.length(F.regexp_replace(p, "[^aeiou]", ""))
+        cased = lambda p: p.rlike("^([A-Z][a-z]*|[A-Z]+s?)$") | (p.rlike("^[a-z]+$") & (p.isin(*small) | (F.length(p) <= 3) | (vowels(p) >= 0.3 * F.length(p))))
+        fits = d.rlike("^[A-Za-z][A-Za-z0-9./()&,-]*$") & (F.length(bare(d)) >= 2) & (F.size(parts) > 0) & F.forall(parts, cased)
+        return F.when(fits, d).otherwise(token)
+
+    return F.when(token.rlike("[ऀ-ॿ]"), M.bind(unicode_to_ascii(token), judged)).otherwise(token)
+
+
 def transliterate(text: Column) -> Column:
     """Devanagari to Latin letters: a consonant keeps its a unless a sign or a virama follows."""
     t = text

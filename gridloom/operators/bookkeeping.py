@@ -90,5 +90,27 @@ def job_status(validated: DataFrame) -> DataFrame:
     return n.select("doc_id", "total", "progress", status.alias("status"))
 
 
+def translated_cells(cells: DataFrame, use, column: str = "v") -> DataFrame:
+    """Each distinct value is translated once and joined back (null stays null)."""
+    said = cells.select(column).distinct().withColumn("_said", use(F.col(column)))
+    return cells.join(said, column, "left").withColumn(column, F.col("_said")).drop("_said")
+
+
+def looked_up(labels: DataFrame, lexicon: DataFrame, column: str = "label") -> DataFrame:
+    """``value`` of each label: an exact key first, else one that differs in case and white space only. ``lexicon(key, value, ord)``: the first of equal loose keys counts."""
+    loose = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    exact = lexicon.groupBy(F.col("key").alias(column)).agg(F.min_by("value", "ord").alias("_exact"))
+    other = lexicon.groupBy(loose(F.col("key")).alias("_k")).agg(F.min_by("value", "ord").alias("_loose"))
+    found = labels.join(exact, column, "left").withColumn("_k", loose(F.col(column))).join(other, "_k", "left")
+    return found.withColumn("value", F.coalesce("_exact", "_loose")).drop("_exact", "_loose", "_k")
+
+
+def stress_summary(found: DataFrame, stitched: DataFrame) -> DataFrame:
+    """Per document: tables found, passed, after stitching, merges and orphan rows. ``found(doc_id, reason, orphan_rows)``, ``stitched(doc_id)``."""
+    f = found.groupBy("doc_id").agg(F.count("*").alias("found"), F.count_if(F.col("reason") == "ok").alias("passed"), F.sum("orphan_rows").alias("orphans"))
+    s = stitched.groupBy("doc_id").agg(F.count("*").alias("after_stitch"))
+    return f.join(s, "doc_id", "left").select("doc_id", "found", "passed", F.coalesce("after_stitch", F.lit(0)).alias("after_stitch"), (F.col("passed") - F.coalesce("after_stitch", F.lit(0))).alias("merges"), "orphans")
+
+
 def slugs(catalog_: DataFrame) -> DataFrame:
     return catalog_.withColumn("slug", X.slug(F.col("table_name")))

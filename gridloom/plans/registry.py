@@ -13,6 +13,7 @@ from gridloom.functions import text as X
 from gridloom.operators import bookkeeping as B
 from gridloom.operators import geometry as G
 from gridloom.operators import headers as H
+from gridloom.operators import layout as L
 from gridloom.operators import naming as N
 from gridloom.operators import numbers as NU
 from gridloom.operators import quality as Q
@@ -616,6 +617,70 @@ def _(spark, sf_dir):
     return G.best_overlap(b.drop("score"), cand).select("id", F.coalesce("cand_id", F.lit(-1)).alias("cand_id"), F.coalesce("score", F.lit(-1.0)).alias("score"))
 
 
+@query("w12_merge_split_values", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '12,345' ELSE '12|,345' END AS texts FROM orders")
+def _(spark, sf_dir):
+    o = D.query(spark, sf_dir, "SELECT o_orderkey FROM orders")
+    gap = F.when(F.col("o_orderkey") % 3 == 0, 2.0).otherwise(9.0)
+    toks = F.array(G.token(F.lit(10.0), F.lit(20.0), F.lit(5.0), F.lit("12")), G.token(20.0 + gap, 50.0 + gap, F.lit(6.0), F.lit(",345")))
+    split = F.array_join(F.transform(G.merge_split(toks), lambda x: x["text"]), "|")
+    return o.select("o_orderkey", split.alias("texts"))
+
+
+@query("w11_text_lines", "WITH t AS (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS p, CAST(l_orderkey % 8 AS INT) AS l, count(*) AS n FROM lineitem GROUP BY ALL) SELECT p, count(*) AS lines, CAST(sum(n) AS BIGINT) AS words FROM t GROUP BY p")
+def _(spark, sf_dir):
+    w = D.query(spark, sf_dir, "SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS doc_id, 1 AS page, CAST(l_linenumber AS DOUBLE) AS x0, CAST(l_linenumber + 1 AS DOUBLE) AS x1, CAST(10 * (l_orderkey % 8) + l_partkey % 3 AS DOUBLE) AS top, 'w' AS text FROM lineitem")
+    t = G.packed_tokens(w).withColumn("l", G.lines(F.col("toks")))
+    return t.select(F.col("doc_id").alias("p"), F.size("l").cast("long").alias("lines"), F.size(F.flatten(F.transform("l", lambda x: x["toks"]))).cast("long").alias("words"))
+
+
+# -- around a table ---------------------------------------------------------------------------------
+
+LINES_SQL = "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey % 50 AS INT) AS page, CAST(20 * (c_custkey % 7) AS DOUBLE) AS top, CASE c_custkey % 5 WHEN 0 THEN 'Table 2.1: Orders' WHEN 1 THEN 'of all nations' WHEN 2 THEN '3.1 Group of Nations' WHEN 3 THEN 'some words that are printed there.' ELSE 'Status of Orders' END AS text FROM customer"
+
+
+@query("h17_captions", "SELECT n_nationkey AS table_id, CASE n_nationkey % 4 WHEN 0 THEN 'Table 2.1: Orders of all nations' WHEN 1 THEN '3.1 Group of Nations (part)' WHEN 2 THEN 'Status of Orders' ELSE 'some plain. words here.' END AS caption FROM nation")
+def _(spark, sf_dir):
+    n = D.query(spark, sf_dir, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 1 AS page, n_nationkey AS table_id, 100.0D AS top, 300.0D AS bottom, 800.0D AS height FROM nation")
+    k = F.col("table_id") % 4
+    first = F.when(k == 0, "Table 2.1: Orders").when(k == 1, "3.1 Group of Nations").when(k == 2, "Status of Orders").otherwise("some plain.")
+    second = F.when(k == 0, "of all nations").when(k == 1, "(part)").when(k == 2, "").otherwise("words here.")
+    lines = n.select("doc_id", "page", F.explode(F.array(F.struct(F.lit(20.0).alias("top"), first.alias("text")), F.struct(F.lit(40.0).alias("top"), second.alias("text")), F.struct(F.lit(400.0).alias("top"), F.lit("Table 9: below").alias("text")))).alias("l")).select("doc_id", "page", "l.*")
+    return L.captions(n, lines).select("table_id", "caption")
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = D.query(spark, sf_dir, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 1 AS page, n_nationkey AS table_id, 100.0D AS top FROM nation")
+    ranges = F.array(*(F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(lo + 90)).alias("hi")) for lo in (0, 100, 200)))
+    said = F.array(*(F.struct(F.lit(y).alias("top"), F.lit(x).alias("x0"), F.lit(x + 30.0).alias("x1"), F.lit(w).alias("text")) for x, y, w in ((10.0, 80.0, "State"), (110.0, 80.0, "Rural"), (210.0, 80.0, "Urban"), (210.0, 90.0, "areas"), (10.0, 60.0, "Table"), (50.0, 60.0, "4"))))
+    return n.withColumn("columns", ranges), n.select("doc_id", "page", F.explode(said).alias("w")).select("doc_id", "page", "w.*")
+
+
+@query("p9_recover_headers", "SELECT n_nationkey AS table_id, CASE WHEN n_nationkey % 2 = 0 THEN 'State|Rural|Urban areas' ELSE 'Name|Rate|Share' END AS head FROM nation")
+def _(spark, sf_dir):
+    t, w = _placed(spark, sf_dir)
+    body = F.array(F.lit("1"), F.lit("5"), F.lit("6"))
+    rows = F.when(F.col("table_id") % 2 == 0, F.array(body, body)).otherwise(F.array(F.array(F.lit("Name"), F.lit("Rate"), F.lit("Share")), body))
+    return L.recover_headers(t.withColumn("rows", rows), w).select("table_id", F.array_join(F.get("rows", F.lit(0)), "|").alias("head"))
+
+
+@query("p8_repair_headers", "SELECT n_nationkey AS table_id, CASE WHEN n_nationkey % 2 = 0 THEN 'State|Rural|Urban areas' ELSE 'State|Rural|' END AS head FROM nation")
+def _(spark, sf_dir):
+    t, w = _placed(spark, sf_dir)
+    rows = F.when(F.col("table_id") % 2 == 0, F.array(F.array(F.lit("State Urban areas Rural"), F.lit(""), F.lit("")))).otherwise(F.array(F.array(F.lit("State"), F.lit("Rural"), F.lit(""))))
+    t = t.withColumn("rows", rows).withColumn("row_tops", F.array(F.lit(75.0), F.lit(95.0)))
+    return L.repair_headers(t, w).select("table_id", F.array_join(F.get("rows", F.lit(0)), "|").alias("head"))
+
+
+@query("s9_recovered_cells", "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(r AS INT) AS row_idx, CAST(c AS INT) AS col_idx, CASE WHEN c = 0 THEN n_name ELSE CAST(n_nationkey + r AS VARCHAR) || ' x' END AS v FROM nation CROSS JOIN (SELECT unnest([0, 1]) AS r) CROSS JOIN (SELECT unnest([0, 1]) AS c)")
+def _(spark, sf_dir):
+    n = D.query(spark, sf_dir, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 1 AS page, n_name, n_nationkey FROM nation")
+    word = lambda x, y, text, conf: F.struct(F.lit(x).alias("x0"), F.lit(x + 10.0).alias("x1"), F.lit(y).alias("mid_y"), text.cast("string").alias("text"), F.lit(conf).alias("conf"))
+    said = [w for r in (0, 1) for w in (word(5.0, 10.0 + 20 * r, F.col("n_name"), 90.0), word(105.0, 10.0 + 20 * r, F.col("n_nationkey") + r, 80.0), word(125.0, 10.0 + 20 * r, F.lit("x"), 41.0), word(150.0, 10.0 + 20 * r, F.lit("noise"), 10.0))]
+    w = n.select("doc_id", "page", F.explode(F.array(*said)).alias("w")).select("doc_id", "page", "w.*")
+    span = lambda name, *pairs: n.select("doc_id", "page", F.explode(F.array(*(F.struct(F.lit(k).alias(name), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi) in enumerate(pairs)))).alias("s")).select("doc_id", "page", "s.*")
+    return G.recover_cells(w, span("col_idx", (0.0, 90.0), (100.0, 190.0)), span("row_idx", (0.0, 18.0), (22.0, 40.0))).select("doc_id", "row_idx", "col_idx", "v")
+
+
 # -- sources ----------------------------------------------------------------------------------------
 
 @query("s2_magic_check", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN starts_with(lower(html), '<!doctype') OR contains(substr(lower(html), 1, 200), '<html') THEN 'invalid_source:bot_redirect' ELSE 'invalid_source' END AS status FROM pages")
@@ -696,6 +761,36 @@ def _(spark, sf_dir):
     return p.select("p_partkey", X.slug(F.concat("p_type", F.lit(" / "), "p_brand")).alias("slug"), X.eta(F.col("p_size") * 37).alias("eta"))
 
 
+@query("f9_decode_mojibake", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Total' ELSE n_name END AS t FROM nation")
+def _(spark, sf_dir):
+    return D.query(spark, sf_dir, "SELECT * FROM nation").select("n_nationkey", X.decode_mojibake(F.when(F.col("n_nationkey") % 2 == 0, "ज्वजंस").otherwise(F.col("n_name"))).alias("t"))
+
+
+@query("f10_translated_cells", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'House' ELSE c_mktsegment END AS v FROM customer")
+def _(spark, sf_dir):
+    c = D.query(spark, sf_dir, "SELECT c_custkey, c_mktsegment AS v FROM customer")
+    return B.translated_cells(c, lambda v: X.translate(v, [], exact=[("BUILDING", "House")])).select("c_custkey", "v")
+
+
+@query("j1_lexicon_lookup", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'exact' WHEN 'MACHINERY' THEN 'loose' END AS value FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def _(spark, sf_dir):
+    c = D.query(spark, sf_dir, "SELECT c_custkey, c_mktsegment AS label FROM customer")
+    lexicon = spark.createDataFrame([("BUILDING", "exact", 0), ("building", "late", 1), ("Machi nery", "loose", 2)], "key string, value string, ord int")
+    return B.looked_up(c, lexicon).filter("value is not null").select("c_custkey", "value")
+
+
+@query("a15_stress_summary", f"WITH v AS ({CHECKED}), n AS (SELECT doc_id, count(*) AS found, count(*) FILTER (reason = 'ok') AS passed, CAST(sum(page % 3) AS BIGINT) AS orphans, count(*) FILTER (reason = 'ok' AND page % 2 = 0) AS after_stitch FROM v GROUP BY ALL) SELECT doc_id, found, passed, after_stitch, passed - after_stitch AS merges, orphans FROM n")
+def _(spark, sf_dir):
+    v = D.query(spark, sf_dir, CHECKED).withColumn("orphan_rows", F.col("page") % 3)
+    return B.stress_summary(v, v.filter("reason = 'ok' and page % 2 = 0"))
+
+
+@query("h14_confident_role", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL HAVING count(*) = 30) SELECT doc_id, table_id, c AS col_idx, ['code', 's_no', 'month', 'state', 'year', 'percentage', 'date', '-', '-'][c + 1] AS role FROM t CROSS JOIN (SELECT CAST(unnest(range(9)) AS INT) AS c)")
+def _(spark, sf_dir):
+    t = packed(spark, sf_dir, D.ROLES).filter(F.size("rows") == 30)
+    return t.select(*KEYS, F.posexplode(M.by_column(F.col("rows"), lambda v, i: F.coalesce(N.confident_role(v), F.lit("-")))).alias("col_idx", "role"))
+
+
 # -- the whole chain --------------------------------------------------------------------------------
 
 CENSUS = """SELECT n_regionkey AS doc_id, rn AS table_id, CAST(row_number() OVER (PARTITION BY n_regionkey, rn ORDER BY ord) - 1 AS INT) AS row_idx, c0, c1, c2 FROM (

@@ -127,8 +127,8 @@ def test_words_become_a_grid(spark):
     df = spark.createDataFrame(words, "doc_id long, page int, x0 double, x1 double, top double, text string")
     got = [r["cells"] for r in G.grid_from_words(df).orderBy("row_idx").collect()]
     assert got == [[f"Item {k}", str(100 + k), str(100 + k)] for k in range(4)]
-    fused = spark.createDataFrame([(1, 1, 0.0, 60.0, 1.0, "(1)(22)")], df.schema)
-    assert [r["text"] for r in G.split_fused(fused).orderBy("x0").collect()] == ["(1)", "(22)"]
+    fused = spark.createDataFrame([(1, 1, 0.0, 60.0, 1.0, "(1.5)(222)")], df.schema)
+    assert [r["text"] for r in G.split_fused(fused).orderBy("x0").collect()] == ["(1.5)", "(222)"]
 
 
 def test_chain_and_sinks(spark, tmp_path):
