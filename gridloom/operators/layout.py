@@ -16,7 +16,8 @@ from gridloom.operators import rows as R
 # Explicit titles, numbered sections, lines of units, bands in shares of a page or points.
 TITLE_LINE = r"(?i)^(table|tabel|statement|annexure|appendix)\s*[\(\-:.]?\s*[0-9]"
 SECTION_LINE = r"^[0-9]{1,2}(\.[0-9]{1,2})+[\s\-–:]+[A-Z]"
-UNIT_LINE = r"(?i)(\(?\b(in|rs\.?|unit|lakh|crore|per cent|percent)\b)"
+TITLE_INSIDE = r"(?i)\b(table|tabel|statement|annexure|appendix)\b\s*[0-9]"
+UNIT_LINE = r"(?i)₹|crore|per cent|\blakh\b|million|billion|base\s*[:y]|end-march|end-"
 FRAME, FRAME_BAND, TOP, PREVIOUS, HEADER_BAND = 0.85, 0.2, 0.15, 0.7, 58.0
 PAGE = ("doc_id", "page")
 
@@ -98,7 +99,7 @@ def recover_headers(tables: DataFrame, words: DataFrame, pad: float = 16.0) -> D
     def dropped(w: Column) -> Column:
         own = F.filter("_w", lambda x: line(x) == line(w))
         text = F.array_join(F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["x0"], x["text"]))), lambda x: x["text"]), " ")
-        return text.rlike(TITLE_LINE) | (text.rlike(UNIT_LINE) & (F.size(own) <= 3))
+        return text.rlike(TITLE_INSIDE) | (text.rlike(UNIT_LINE) & (F.size(own) <= 3))
 
     t = t.withColumn("_b", bucketed(F.filter("_w", lambda w: ~dropped(w)), F.col("columns")))
     filled = M.count(F.col("_b"), lambda v: v != "")

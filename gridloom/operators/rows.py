@@ -17,7 +17,12 @@ SUBDIVISIONS = (
     "share ratio weight proceeds? claims? premium insured branches? compet(?:itive)? non.compet(?:itive)? bids? allotted yield maturity coupon tenor face notified"
 ).split()
 SUBDIVISION = r"(?i)\b(" + "|".join(SUBDIVISIONS) + r")\b"
-HEADING_WORDS = r"(?i)\b(table|statement|annexure|status|number|details|distribution|summary|list|progress|performance|wise)\b"
+HEADING_WORDS = (
+    r"(?i)\b(distribution|number|percentage|proportion|ratio|rate|trends?|share|estimate[ds]?|coverage|prevalence|growth|index|average|summary|profile|indicators?|statistics?|status|composition"
+    r"|classification|state[\s\-]?wise|district[\s\-]?wise|category[\s\-]?wise|by\s+(age|sex|state|district|sector|type|group|category|level))\b"
+)
+FRAGMENT = r"^-?[0-9,]+(\.[0-9]+)?%?$"
+INDEX_ONLY = r"^\(?[0-9]{1,2}\)?$"
 
 
 def non_empty(r: Column) -> Column:
@@ -109,16 +114,16 @@ def is_orphan(r: Column) -> Column:
 
 
 def is_heading_line(line: Column) -> Column:
-    """A line that reads like a title: few words, a capital first, mostly letters, no sentence marks."""
+    """A line that reads like a title: few words, a capital first, mostly letters, no sentence marks, and title case or a word of headings."""
     s = C.strip(line)
-    ws = C.words(s)
-    letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
-    titled = M.count(ws, lambda w: w.rlike(r"^\p{Lu}"))
-    balanced = F.length(F.regexp_replace(s, r"[^(]", "")) == F.length(F.regexp_replace(s, r"[^)]", ""))
-    return (
-        F.size(ws).between(2, 16) & s.rlike(r"^\p{Lu}") & ~s.rlike(r"[.;:!?](\s|$)") & balanced & (letters >= 0.6 * F.length(s))
-        & ((titled >= F.greatest(F.lit(2), F.ceil(F.size(ws) / 2))) | s.rlike(HEADING_WORDS))
-    )
+    count = lambda sign: F.length(s) - F.length(F.replace(s, F.lit(sign), F.lit("")))
+    letters, signs = F.length(F.regexp_replace(s, r"[^\p{L}]", "")), F.length(F.replace(s, F.lit(" "), F.lit("")))
+
+    def judged(ws: Column) -> Column:
+        titled = M.count(ws, lambda w: w.rlike(r"^\p{Lu}"))
+        return F.size(ws).between(2, 16) & ((titled >= F.greatest(F.lit(2.0), 0.5 * F.size(ws))) | s.rlike(HEADING_WORDS))
+
+    return s.rlike(r"^\p{L}") & ~s.rlike(r"^\p{Ll}") & ~s.rlike(r"[.;]\s|[.;]$|:$") & (count(")") <= count("(")) & (letters >= 0.6 * signs) & M.bind(C.words(s), judged)
 
 
 def is_crushed(rows: Column) -> Column:
@@ -126,7 +131,7 @@ def is_crushed(rows: Column) -> Column:
     v = M.flat(rows)
     lines = lambda x: F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), C.strip), lambda p: p != "")
     many = M.count(v, lambda x: F.length(F.regexp_replace(F.coalesce(x, F.lit("")), "[^\n]", "")) >= 2)
-    run = F.exists(v, lambda x: (F.size(lines(x)) >= 4) & (M.count(lines(x), C.is_number) >= 0.7 * F.size(lines(x))))
+    run = F.exists(v, lambda x: (F.size(lines(x)) >= 4) & (M.count(lines(x), lambda p: p.rlike(FRAGMENT)) >= 0.7 * F.size(lines(x))))
     return (F.size(v) == 0) | (many > 0.25 * F.size(v)) | run
 
 
@@ -146,9 +151,9 @@ def spread_crushed_header(rows: Column) -> Column:
 
 
 def header_missing(rows: Column) -> Column:
-    """The rows above the first data row (a leading digit in the top eight) label too few columns."""
+    """The rows above the first data row (a leading digit in the top eight) label too few columns with short labels."""
     at = M.first_index(M.head(rows, 8), lambda r: C.strip(F.get(r, F.lit(0))).rlike(r"^\(?[0-9]"))
-    lettered = lambda r: F.filter(non_empty(r), lambda v: v.rlike("[A-Za-z]"))
-    label_rows = F.filter(M.head(rows, F.coalesce(at, F.lit(0))), lambda r: (F.size(lettered(r)) > 0) & F.forall(lettered(r), lambda v: C.word_count(v) <= 3))
-    named = F.size(F.array_distinct(F.flatten(F.transform(label_rows, lambda r: F.filter(F.transform(r, lambda v, i: F.when(C.populated(v) & v.rlike("[A-Za-z]"), i)), lambda i: i.isNotNull())))))
+    labels = lambda r: F.filter(F.transform(r, lambda v, i: F.struct(C.strip(v).alias("v"), i.alias("i"))), lambda x: ~x["v"].isin(*C.MISSING) & ~x["v"].rlike(INDEX_ONLY))
+    short = F.filter(F.transform(M.head(rows, F.coalesce(at, F.lit(0))), labels), lambda x: F.forall(x, lambda c: C.word_count(c["v"]) <= 3))
+    named = F.size(F.array_distinct(F.transform(F.flatten(short), lambda c: c["i"])))
     return F.when(at.isNull(), False).otherwise(named < F.greatest(F.lit(2.0), M.width(rows) * 0.5))

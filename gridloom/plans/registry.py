@@ -246,9 +246,9 @@ LINES = "SELECT doc_id, text FROM documents"
 
 @query("p16_heading_lines", f"""WITH l AS (SELECT doc_id, CAST(i AS INT) AS line, trim(t) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
  w AS (SELECT *, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS ws FROM l)
- SELECT doc_id, count(*) AS lines, count(*) FILTER (len(ws) BETWEEN 2 AND 16 AND regexp_matches(s, '^\\p{{Lu}}') AND NOT regexp_matches(s, '[.;:!?](\\s|$)')
-  AND length(regexp_replace(s, '[^(]', '', 'g')) = length(regexp_replace(s, '[^)]', '', 'g')) AND length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) >= 0.6 * length(s)
-  AND (len(list_filter(ws, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= greatest(2, ceil(len(ws) / 2)) OR regexp_matches(lower(s), '\\b(table|statement|annexure|status|number|details|distribution|summary|list|progress|performance|wise)\\b'))) AS headings FROM w GROUP BY doc_id""")
+ SELECT doc_id, count(*) AS lines, count(*) FILTER (len(ws) BETWEEN 2 AND 16 AND regexp_matches(s, '^\\p{{L}}') AND NOT regexp_matches(s, '^\\p{{Ll}}') AND NOT regexp_matches(s, '[.;]\\s|[.;]$|:$')
+  AND length(replace(s, ')', '')) >= length(replace(s, '(', '')) AND length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) >= 0.6 * length(replace(s, ' ', ''))
+  AND (len(list_filter(ws, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= greatest(2, len(ws) * 0.5) OR regexp_matches(lower(s), '\\b(distribution|number|percentage|proportion|ratio|rate|trends?|share|estimate[ds]?|coverage|prevalence|growth|index|average|summary|profile|indicators?|statistics?|status|composition|classification|state[\\s\\-]?wise|district[\\s\\-]?wise|category[\\s\\-]?wise|by\\s+(age|sex|state|district|sector|type|group|category|level))\\b'))) AS headings FROM w GROUP BY doc_id""")
 def _(spark, sf_dir):
     d = D.query(spark, sf_dir, LINES).withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     return d.filter("text is not null").select("doc_id", F.size("lines").cast("long").alias("lines"), M.count(F.col("lines"), R.is_heading_line).cast("long").alias("headings"))
