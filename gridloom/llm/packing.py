@@ -33,7 +33,7 @@ from gridloom.llm.token_counts import load
 
 CAPACITY = 4096
 GROUP_DOCS, GROUP_TOKENS = 2048, 1_200_000
-CACHE_WORDS, CACHE_LENGTH = 2_500_000, 48
+CACHE_WORDS, CACHE_LENGTH = 600_000, 48
 #: Letters that keep their length and place under lower-casing and composition.
 _BETWEEN = "•"  # not among them, and never part of a token of theirs
 _PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
@@ -42,16 +42,23 @@ _PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
 class WordIds:
     """Little-endian 32-bit ids of texts, word by word."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, limit: int = CACHE_WORDS):
+        self.limit = limit  # words kept, twice as many at most
         sign = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
-        self.tokenizer, self.known, self.between = tokenizer, {}, sign[0] if len(sign) == 1 else -1
+        self.tokenizer, self.between = tokenizer, sign[0] if len(sign) == 1 else -1
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known when ``known`` last began anew
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         words = set().union(*split) if split else set()
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in words & self.known.keys()}
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
         new = [w for w in words if w not in self.known]
+        if self.older:
+            again = [w for w in new if w in self.older]
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            new = [w for w in new if w not in self.older]
         self.learn(new)
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
         for w in new:
@@ -82,10 +89,10 @@ class WordIds:
 _WORDS: dict[str, WordIds] = {}
 
 
-def word_ids(vocabulary: str) -> WordIds:
+def word_ids(vocabulary: str, limit: int) -> WordIds:
     """One per process: a worker's later tasks know the words of its earlier ones."""
     if vocabulary not in _WORDS:
-        _WORDS[vocabulary] = WordIds(load(vocabulary))
+        _WORDS[vocabulary] = WordIds(load(vocabulary), limit)
     return _WORDS[vocabulary]
 
 
@@ -160,7 +167,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY, dense: float = 0.99) -> l
     if pieces:
         least, size = -(-sum(p[2] for p in pieces) // capacity), capacity // 2
         at = spread([p[2] for p in pieces], capacity)
-        while at.max() + 1 > least / dense + 1 and size >= 64:  # large pieces leave gaps: halve them
+        while at.max() + 1 > 1.04 * least + 1 and size >= 64:  # large pieces leave gaps: halve them
             pieces = [q for doc, start, n in pieces for q in ([(doc, start, n // 2), (doc, start + n // 2, n - n // 2)] if n > size else [(doc, start, n)])]
             at, size = spread([p[2] for p in pieces], capacity), size // 2
         own: dict[int, list] = {}
@@ -188,14 +195,14 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
-def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece; ``vocabulary``: a tokenizers file on every executor."""
+def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", words_kept: int = CACHE_WORDS) -> DataFrame:
+    """``id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` per piece; ``vocabulary``: a tokenizers file on every executor; ``words_kept`` bounds a worker's memory."""
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, words = arrow_schema(schema), word_ids(vocabulary)
+        arrow, words = arrow_schema(schema), word_ids(vocabulary, words_kept)
         next_id = TaskContext.get().partitionId() << 32
         held_ids: list[pa.Array] = []
         held: list[bytes] = []
