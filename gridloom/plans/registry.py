@@ -791,6 +791,39 @@ def _(spark, sf_dir):
     return t.select(*KEYS, F.posexplode(M.by_column(F.col("rows"), lambda v, i: F.coalesce(N.confident_role(v), F.lit("-")))).alias("col_idx", "role"))
 
 
+@query("h4_english_words", "SELECT n_nationkey, ['Number of Hand Pumps', 'GDP rural', 'Total', ''][n_nationkey % 4 + 1] AS e FROM nation")
+def _(spark, sf_dir):
+    k = F.col("n_nationkey") % 4
+    t = F.when(k == 0, "Number of gSaMiaiksa Hand Pumps").when(k == 1, "GDP rural tqx").when(k == 2, "Total (12)").otherwise("dh gtkj")
+    return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", H.english(t).alias("e"))
+
+
+@query("h8_reference_headers", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'nco_2015_code|title' ELSE 'col_0|col_1' END AS names FROM nation")
+def _(spark, sf_dir):
+    rows = F.array(F.array(F.lit("NCO 2015"), F.lit("Title")), F.array(F.lit("Code"), F.lit("")), F.array(F.lit("1111.0100"), F.lit("Manager")))
+    return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", F.array_join(H.reference_band_names(rows, F.when(F.col("n_nationkey") % 2 == 0, 2).otherwise(0)), "|").alias("names"))
+
+
+@query("w8_serial_run", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL HAVING count(*) = 30) SELECT doc_id, table_id, c AS col_idx, c = 1 AS serial FROM t CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS c)")
+def _(spark, sf_dir):
+    t = packed(spark, sf_dir, D.ROLES).filter(F.size("rows") == 30).withColumn("rows", F.transform("rows", lambda r: F.slice(r, 1, 4)))
+    return t.select(*KEYS, F.posexplode(M.by_column(F.col("rows"), lambda v, i: F.coalesce(N.is_serial_run(R.non_empty(v)), F.lit(False)))).alias("col_idx", "serial"))
+
+
+@query("s10_grouped_names", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'indicator|nfhs6_urban|nfhs6_rural|nfhs5_total' ELSE 'Area|Urban|Rural|Total' END AS names FROM nation")
+def _(spark, sf_dir):
+    names = F.when(F.col("n_nationkey") % 2 == 0, F.array(*map(F.lit, ("Indicators", "NFHS-6 Urban", "Rural", "NFHS-5 Total")))).otherwise(F.array(*map(F.lit, ("Area", "Urban", "Rural", "Total"))))
+    return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", F.array_join(RD.rename_grouped(names), "|").alias("names"))
+
+
+@query("s9b_lower_corruption", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'again' ELSE 'first' END AS pick FROM nation")
+def _(spark, sf_dir):
+    k = F.col("n_nationkey") % 3
+    score = lambda x, d: F.struct(x.cast("double").alias("score"), d.alias("dominant"))
+    before = score(F.when(k == 2, 0.2).otherwise(0.6), F.when(k == 1, "deva").otherwise("kruti"))
+    return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", RD.pick_lower_corruption(before, score(F.lit(0.1), F.lit("kruti")), F.lit("first"), F.lit("again")).alias("pick"))
+
+
 # -- the whole chain --------------------------------------------------------------------------------
 
 CENSUS = """SELECT n_regionkey AS doc_id, rn AS table_id, CAST(row_number() OVER (PARTITION BY n_regionkey, rn ORDER BY ord) - 1 AS INT) AS row_idx, c0, c1, c2 FROM (
