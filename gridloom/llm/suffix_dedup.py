@@ -37,7 +37,7 @@ from gridloom.llm.common import Cuts, arrow_schema, slices
 from gridloom.llm.shingles import mix
 
 LENGTH, GRAM = 400, 80
-SLICE = 1 << 21  # bytes looked at together
+SLICE = 1 << 20  # bytes looked at together
 BATCH, CHUNK, HOT = 1024, 16384, 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ANCHOR = "h long, ch long, r1 long, r2 long, pos long, lo int, hi int"
