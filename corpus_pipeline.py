@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows; few words are kept, as the workers hold what earlier stages keep."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=150_000)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=50_000)
 
 
 STAGES = [

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A batch of texts handed to numpy or a tokenizer at once holds about so many characters at most.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -37,6 +37,7 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = BATCH_CHARS) -> Ite
         total += size
     if begin < len(sizes):
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # between batches, as workers live on beside others
 
 
 _SIMPLE = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

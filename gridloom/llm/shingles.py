@@ -12,7 +12,7 @@ import xxhash
 _FOLD = {c: c + 32 for c in range(65, 91)}
 _SPACE = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
 _FOLD_SPACE = {**_FOLD, **_SPACE}
-_CACHE_LIMIT = 250_000
+_CACHE_LIMIT = 100_000
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
