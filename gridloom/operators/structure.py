@@ -120,12 +120,18 @@ def panel_boundary(rows: Column, least_rows: int = 8, least_share: float = 0.22,
 
     def rate(k: Column) -> Column:
         left, right = (lambda r: F.slice(r, 1, k)), (lambda r: F.slice(r, k + 1, F.size(r)))
-        sides = F.transform(rows, lambda r: F.struct(F.exists(left(r), full).alias("l"), F.exists(right(r), full).alias("r")))
-        n = M.count(sides, lambda s: s["l"] | s["r"])
-        lo, ro = M.count(sides, lambda s: s["l"] & ~s["r"]), M.count(sides, lambda s: s["r"] & ~s["l"])
-        numbers = (M.count(rows, lambda r: F.exists(left(r), C.is_number)) >= least_numbers) & (M.count(rows, lambda r: F.exists(right(r), C.is_number)) >= least_numbers)
-        ok = (n >= least_rows) & (lo >= least_share * n) & (ro >= least_share * n) & (lo + ro >= 0.55 * n) & numbers
-        return F.when(ok, F.struct((F.least(lo, ro) / n).alias("s"), (-k).alias("k")))
+        sides = F.transform(rows, lambda r: F.struct(F.exists(left(r), full).alias("l"), F.exists(right(r), full).alias("r"), F.exists(left(r), C.is_number).alias("ln"), F.exists(right(r), C.is_number).alias("rn")))
+
+        def judged(s: Column) -> Column:
+            counts = F.struct(M.count(s, lambda x: x["l"] | x["r"]).alias("n"), M.count(s, lambda x: x["l"] & ~x["r"]).alias("lo"), M.count(s, lambda x: x["r"] & ~x["l"]).alias("ro"), M.count(s, lambda x: x["ln"]).alias("ln"), M.count(s, lambda x: x["rn"]).alias("rn"))
+            return M.bind(counts, rated)
+
+        def rated(c: Column) -> Column:
+            n, lo, ro = c["n"], c["lo"], c["ro"]
+            ok = (n >= least_rows) & (lo >= least_share * n) & (ro >= least_share * n) & (lo + ro >= 0.55 * n) & (c["ln"] >= least_numbers) & (c["rn"] >= least_numbers)
+            return F.when(ok, F.struct((F.least(lo, ro) / n).alias("s"), (-k).alias("k")))
+
+        return M.bind(sides, judged)
 
     w = M.width(rows)
     options = F.when(w >= 4, F.sequence(F.lit(2), w - 2)).otherwise(F.array().cast("array<int>"))
