@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -101,15 +102,15 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     return text, pos, pos - last, pos - first, h[pos]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], piece: int = SLICE) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_ANCHOR)
     for whole in batches:
-        for batch in slices(whole, 2, SLICE):
+        for batch in slices(whole, 2, piece):
             r1, r2 = (np.asarray(batch.column(k)) for k in (0, 1))
             texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(2).to_pylist()]
-            if len(texts) == 1 and len(texts[0]) > 2 * SLICE:  # one huge text in pieces
-                step = SLICE - LENGTH + 1
-                pieces = [([texts[0][k : k + SLICE]], k) for k in range(0, len(texts[0]) - LENGTH + 1, step)]
+            if len(texts) == 1 and len(texts[0]) > 2 * piece:  # one huge text in pieces
+                step = piece - LENGTH + 1
+                pieces = [([texts[0][k : k + piece]], k) for k in range(0, len(texts[0]) - LENGTH + 1, step)]
             else:
                 pieces = [(texts, 0)]
             for part, shift in pieces:
@@ -279,9 +280,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), t.alias("t"), F.xxhash64(i, t).alias("r1"), F.xxhash64(t, F.lit(7), i).alias("r2"))
 
 
-def repeated_intervals(cuts: Cuts, rows: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_intervals(cuts: Cuts, rows: DataFrame, hot: int = HOT, piece: int = SLICE) -> DataFrame:
     """``r1, r2, s, e``: byte intervals that repeated strings cover; they may overlap."""
-    found = cuts.write(rows.select("r1", "r2", "t").mapInArrow(_anchor_rows, _ANCHOR))
+    found = cuts.write(rows.select("r1", "r2", "t").mapInArrow(partial(_anchor_rows, piece=piece), _ANCHOR))
     hulls = found.groupBy("h", "ch").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "pos", "lo", "hi")).alias("one"))
     kinds = hulls.groupBy("h").agg(F.count("*").alias("v"), F.sum("n").alias("total")).filter("total > 1")
     shared = cuts.write(hulls.join(kinds, "h").select("h", "ch", "n", "v", "one"))
@@ -289,7 +290,7 @@ def repeated_intervals(cuts: Cuts, rows: DataFrame, hot: int = HOT) -> DataFrame
     wanted = shared.filter("v > 1").select("h", "v", (F.col("n") == 1).alias("single"), "one.*")
     entries = cuts.write(_fetch(rows, wanted))
     cool = entries.filter(F.col("v") <= hot).drop("v")
-    indexed = cool.repartition("h").sortWithinPartitions("h", "r1", "r2", "pos").mapInArrow(_index, _INTERVAL)
+    indexed = cool.repartition("h").sortWithinPartitions("h", "r1", "r2", "pos", "lo").mapInArrow(_index, _INTERVAL)
     parts = whole.unionByName(indexed)
     warm = entries.filter(F.col("v") > hot).drop("v")
     if not warm.isEmpty():
@@ -316,7 +317,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     made = rows.select("r1", "r2", "t").join(asked, ["r1", "r2"]).select("r1", "r2", "t", "asked").mapInArrow(run, _ENTRY + ", v long")
-    return made.dropDuplicates(["h", "r1", "r2", "pos"])  # equal rows fetch the same bytes
+    return made.dropDuplicates(["h", "r1", "r2", "pos", "lo", "hi"])  # equal rows fetch the same bytes; an anchor by a border of pieces has a hull on each side
 
 
 def kept_bytes(raw: bytes, intervals: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -333,14 +334,14 @@ def kept_bytes(raw: bytes, intervals: list[tuple[int, int]]) -> tuple[bytes, int
     return b"".join(out), removed, runs
 
 
-def without_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", piece: int = SLICE) -> DataFrame:
     """``row`` (the input's columns), ``n_bytes, n_removed, n_spans, kept_sha256, kept_text``.
 
     ``kept_text`` is what remains as text; characters that lost some of their bytes are left out of it.
     """
     cuts = Cuts(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_intervals(cuts, rows, hot).groupBy("r1", "r2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # bounded by the text's own length
+    spans = repeated_intervals(cuts, rows, hot, piece).groupBy("r1", "r2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # bounded by the text's own length
     ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     joined = rows.join(spans, ["r1", "r2"], "left")
     row_type = joined.schema["row"]

@@ -73,6 +73,22 @@ def test_suffix_dedup(spark, odd, hot):
     assert any(r["n_removed"] for r in got) and all(r["row"] == "x" for r in got)
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeats_at_borders_of_pieces(spark, hot):
+    """Passages that start or end about every border of a text that is read in pieces."""
+    rng = random.Random(21)
+    piece, step = 1500, 1500 - 400 + 1
+    long = prose(rng, 1800)
+    borders = range(step, len(long) - 1000, step)
+    texts = [(0, long)]
+    for k, b in enumerate(borders):
+        cuts = [(b - rng.randrange(1, 300), 400 + rng.randrange(0, 300)), (b + rng.randrange(0, 400) - 600, 600)]
+        texts += [(10 * k + j + 1, prose(rng, 8) + long[s : s + n] + prose(rng, 8)) for j, (s, n) in enumerate(cuts) if (k + j) % 2]
+    got = suffix_dedup.without_repeats(frame(spark, texts), hot, piece=piece).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = sorted(map(repr, zip([i for i, _ in texts], brute_repeats([t for _, t in texts]))))
+    assert len(borders) > 6 and sorted(repr((r["doc_id"], tuple(r)[1:])) for r in got) == want
+
+
 def test_index_family_over_many_batches():
     rng = random.Random(3)
     core = prose(rng, 200)
