@@ -18,6 +18,7 @@ count; repeated rows repeat; other columns are dropped; without training rows ev
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -39,6 +40,8 @@ LOOK_ALIKES = {
 }
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "circus clown", "clown fish", "pond scum")
 PREFIXES = (4, 5, 6, 7)
+SUPPORT = 5
+TERMS_KEPT = 200_000  # in a task, before their counts go on
 _WORD = re.compile(r"\S+")
 
 
@@ -73,8 +76,9 @@ class Lexicon:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for p in {*self.weights, *self.exceptions}:
-            a.add_word(p, (len(p), self.weights.get(p, 0.0), p in set(self.exceptions)))
+        exceptions = set(self.exceptions)
+        for p in {*self.weights, *exceptions}:
+            a.add_word(p, (len(p), self.weights.get(p, 0.0), p in exceptions))
         if len(a):
             a.make_automaton()
         return a
@@ -104,11 +108,16 @@ def _terms(folded: str) -> set[str]:
     return out
 
 
-def _count(rows: DataFrame, text_col: str, wanted: frozenset[str] | None, pairs_of: frozenset[str] | None) -> DataFrame:
-    """``term, toxic, n``: texts that hold each term."""
+def _count(rows: DataFrame, text_col: str, pairs_of: frozenset[str] | None = None) -> DataFrame:
+    """``term, bad, clean``: toxic and clean texts that hold each term (or each pair with a word of ``pairs_of``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+
+        def out(toxic: int) -> pa.RecordBatch:
+            c, found[toxic] = found[toxic], Counter()
+            return pa.RecordBatch.from_pydict({"term": pa.array(list(c), pa.string()), "toxic": pa.array([toxic] * len(c), pa.int32()), "n": pa.array(list(c.values()), pa.int64())})
+
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 folded = fold(text)
@@ -117,23 +126,31 @@ def _count(rows: DataFrame, text_col: str, wanted: frozenset[str] | None, pairs_
                     terms = {f" {a} {b} " for a, b in zip(ws, ws[1:]) if f" {a} " in pairs_of or f" {b} " in pairs_of}
                 else:
                     terms = _terms(folded)
-                    terms = terms if wanted is None else terms & wanted
                 found[toxic].update(terms)
-        for toxic, c in found.items():
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(c), pa.string()), "toxic": pa.array([toxic] * len(c), pa.int32()), "n": pa.array(list(c.values()), pa.int64())})
+                if len(found[toxic]) > TERMS_KEPT:
+                    yield out(toxic)
+        yield from map(out, (0, 1))
 
-    return rows.select(text_col, "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+    n = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    return rows.select(text_col, "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(n(1).alias("bad"), n(0).alias("clean"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ...]:
-    """Newton's method with a small ridge."""
+    """Newton's method with a small ridge; steps are halved until the loss falls, as parted classes make it overshoot."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 5e-4 * w @ w
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * w)
-        w += np.clip(step, -2, 2)
+        while np.abs(step).max() > 1e-9 and loss(w + step) >= now:
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        w += step
+        now = loss(w)
     return tuple(map(float, w))
 
 
@@ -141,9 +158,10 @@ def features(total: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(total), np.log1p(rate)])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from labelled training rows. ``sample`` bounds the rows: the smallest hashes of their ids."""
+    """A lexicon from labelled training rows. ``sample`` bounds the rows: the smallest hashes of their ids;
+    a term needs ``support`` toxic texts among them, however many there are, and down to 3 where they are few."""
     spark = docs.sparkSession
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id", "toxic").limit(sample)
@@ -153,30 +171,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return Lexicon()
-    least = max(3, math.ceil(0.02 * pos))
-    # terms that a fiftieth of the sampled toxic texts hold: fewer than fifty times the terms of a text
-    held = {r["term"]: r["n"] for r in _count(rows.filter("toxic = 1"), "text", None, None).filter(F.col("n") >= least).collect()}
-    clean = {r["term"]: r["n"] for r in _count(rows.filter("toxic = 0"), "text", frozenset(held), None).collect()}
     odds = lambda a, b: math.log((a + 0.25) / (pos + 0.5)) - math.log((b + 0.25) / (neg + 0.5))
-    weights = {t: w for t, n in held.items() if (w := odds(n, clean.get(t, 0))) >= 2.5}
+    ratio = (F.col("bad") + 0.25) / (pos + 0.5) / ((F.col("clean") + 0.25) / (neg + 0.5))
+    least = min(support, max(3, math.ceil(0.02 * pos)))
+    # only terms of the lexicon come here
+    held, weights = {}, {}
+    for r in _count(rows, "text").filter((F.col("bad") >= least) & (F.log(ratio) >= 2.5)).collect():
+        held[r["term"]], weights[r["term"]] = r["bad"], odds(r["bad"], r["clean"])
     kept: dict[str, float] = {}
     for t in sorted(weights, key=lambda t: (len(t.rstrip()), t)):  # beginnings before what goes on from them
         shorter = [kept[t[:k]] for k in range(2, len(t.rstrip()) + 1) if t[:k] in kept and t[:k] != t]
         if not shorter or weights[t] > max(shorter) + 1.0:
             kept[t] = weights[t]
     # a beginning gives way to the whole word that makes up nearly all of it
-    whole = {t for t in kept if t.endswith(" ")} | {t for t in weights if t.endswith(" ")}
+    whole = sorted(t for t in weights if t.endswith(" "))
     for t in [t for t in kept if not t.endswith(" ")]:
-        full = max((w for w in whole if w.startswith(t)), key=lambda w: (held[w], w), default=None)
+        own = whole[bisect.bisect_left(whole, t) : bisect.bisect_left(whole, t + chr(0x10FFFF))]
+        full = max(own, key=lambda w: (held[w], w), default=None)
         if full and held[full] >= 0.95 * held[t]:
             del kept[t]
             kept[full] = weights[full]
     words = frozenset(t for t in kept if t.endswith(" "))
-    pairs = Counter()
-    if words:
-        for r in _count(rows, "text", None, words).filter((F.col("n") >= 3) | (F.col("toxic") == 1)).collect():
-            pairs[r["term"]] += r["n"] * (1 if r["toxic"] == 0 else -20)
-    spared = sorted({fold(p) for p in exceptions} | {t for t, n in pairs.items() if n >= 3})
+    pairs = _count(rows, "text", words).filter("clean - 20 * bad >= 3").select("term").collect() if words else []
+    spared = sorted({fold(p) for p in exceptions} | {r["term"] for r in pairs})
     lexicon = Lexicon(kept, spared)
     xs = _measured(rows, "text", "toxic", lexicon).collect()  # ``sample`` rows of three numbers at most
     y = np.array([r["key"] for r in xs], float)

@@ -371,6 +371,17 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d, toxicity.train(d, l.filter("false"))).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_rare_toxic_words(spark):
+    """A word counts by the texts that hold it, not by its share of all toxic ones."""
+    rng = random.Random(4)
+    rare = [f"{a}{b}orx" for a in ("zu", "qua", "vly", "kro", "jem") for b in "bdfgklmnpstvwz"]
+    docs = [(k, prose(rng, 30) + (f" {rare[k // 4 % 70]} " + prose(rng, 5) if k % 4 == 0 else "")) for k in range(1680)]
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in docs], "doc_id long, toxic int")
+    lexicon = toxicity.train(d, l.filter("doc_id >= 280"))
+    assert all(any(f" {w} ".startswith(t) for t in lexicon.weights) for w in rare)
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in toxicity.toxicity(d, lexicon).filter("doc_id < 280").collect())
+
+
 # -- all --------------------------------------------------------------------------------------------
 
 
