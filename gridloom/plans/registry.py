@@ -392,6 +392,13 @@ def _(spark, sf_dir):
     return H.apply_headers(t).select("table_id", F.array_join("names", "|").alias("names"), F.size("rows").alias("n"))
 
 
+@query("h3b_apply_headers_all")
+def _(spark, sf_dir):
+    """Every table of BANDS, those without years, months or numbers included."""
+    t = packed(spark, sf_dir, BANDS).withColumn("h", H.header_rows(F.col("rows")))
+    return H.apply_headers(t).select("table_id", F.array_join("names", "|").alias("names"), F.size("rows").alias("n"))
+
+
 SUBS = "SELECT 0 AS doc_id, c_custkey AS table_id, CAST(i AS INT) AS row_idx, CASE WHEN i = 0 THEN '' ELSE 'Area' END AS c0, CASE WHEN i = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Rural' ELSE '5' END ELSE '1,000' END AS c1, CASE WHEN i = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Urban' ELSE '6' END ELSE '7' END AS c2 FROM customer CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) q"
 
 

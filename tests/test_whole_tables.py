@@ -1,0 +1,12 @@
+"""Queries without SQL over whole tables, against plain Python."""
+
+from gridloom.plans import registry
+
+SF = "/root/testdata/sf0.001"
+NAMES = {0: ("state|2011|2012_13|rank", 3), 1: ("state|jan|feb|mar", 3), 2: ("state|gross_output_rural|gross_output_urban|rank", 2), 3: ("state|company|place|rank", 2)}
+
+
+def test_headers_of_all_tables(spark):
+    got = registry.QUERIES["h3b_apply_headers_all"](spark, SF).collect()
+    keys = [r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()]
+    assert sorted(tuple(r) for r in got) == sorted((k, *NAMES[k % 4]) for k in keys) and {k % 4 for k in keys} == set(NAMES)
