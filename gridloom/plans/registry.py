@@ -731,6 +731,12 @@ def _(spark, sf_dir):
     return D.query(spark, sf_dir, TOKENS).filter("p_partkey % 8 <> 1").select("p_partkey", X.looks_soup(F.col("t")).alias("soup"))
 
 
+@query("f4b_looks_soup_all")
+def _(spark, sf_dir):
+    """Every token, the table's own types included."""
+    return D.query(spark, sf_dir, TOKENS).select("p_partkey", X.looks_soup(F.col("t")).alias("soup"))
+
+
 @query("f5_soup_to_unicode", "SELECT n_nationkey, ['जिला', 'कुल', 'योग'][1 + n_nationkey % 3] AS dev FROM nation")
 def _(spark, sf_dir):
     n = D.query(spark, sf_dir, "SELECT n_nationkey FROM nation")

@@ -10,3 +10,12 @@ def test_headers_of_all_tables(spark):
     got = registry.QUERIES["h3b_apply_headers_all"](spark, SF).collect()
     keys = [r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()]
     assert sorted(tuple(r) for r in got) == sorted((k, *NAMES[k % 4]) for k in keys) and {k % 4 for k in keys} == set(NAMES)
+
+
+def test_soup_of_all_tokens(spark):
+    """Types in capitals are no soup; the made tokens are by their class."""
+    got = registry.QUERIES["f4b_looks_soup_all"](spark, SF).collect()
+    types = dict(tuple(r) for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_type").collect())
+    real = [t for k, t in types.items() if k % 8 == 1]
+    assert real and all(sum(map(str.isalpha, t)) >= 3 and t.isupper() for t in real)
+    assert sorted(tuple(r) for r in got) == sorted((k, k % 8 in (0, 4, 6)) for k in types)
