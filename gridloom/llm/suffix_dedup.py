@@ -73,6 +73,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     none = tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
     if len(data) < length:
         return none
+    assert len(data) <= 1 << 24  # positions have 24 bits
     w = length - gram + 1
     h = gram_hashes(data, gram)
     packed = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
@@ -108,19 +109,19 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], piece: int = SLICE) -> Itera
         for batch in slices(whole, 2, piece):
             r1, r2 = (np.asarray(batch.column(k)) for k in (0, 1))
             texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column(2).to_pylist()]
-            if len(texts) == 1 and len(texts[0]) > 2 * piece:  # one huge text in pieces
-                step = piece - LENGTH + 1
-                pieces = [([texts[0][k : k + piece]], k) for k in range(0, len(texts[0]) - LENGTH + 1, step)]
-            else:
-                pieces = [(texts, 0)]
-            for part, shift in pieces:
+            # huge texts in pieces, by themselves
+            step = piece - LENGTH + 1
+            small = [k for k, t in enumerate(texts) if len(t) <= 2 * piece]
+            pieces = [([texts[k] for k in small], np.array(small, int), 0)]
+            pieces += [([t[at : at + piece]], np.array([k]), at) for k, t in enumerate(texts) if len(t) > 2 * piece for at in range(0, len(t) - LENGTH + 1, step)]
+            for part, own, shift in pieces:
                 raw = b"".join(part)
                 bounds = np.cumsum([0, *map(len, part)])
                 text, pos, lo, hi, h = anchors(np.frombuffer(raw, np.uint8), bounds)
                 if not len(text):
                     continue
                 ch = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((pos - hi).tolist(), (pos + LENGTH - lo).tolist())], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(r1[text]), pa.array(r2[text]), pa.array(pos - bounds[text] + shift), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(r1[own[text]]), pa.array(r2[own[text]]), pa.array(pos - bounds[text] + shift), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=schema)
 
 
 # -- the index family -------------------------------------------------------------------------------

@@ -89,6 +89,20 @@ def test_repeats_at_borders_of_pieces(spark, hot):
     assert len(borders) > 6 and sorted(repr((r["doc_id"], tuple(r)[1:])) for r in got) == want
 
 
+def test_huge_text_beside_empty_ones():
+    """Anchors are those of one go, and no more than a piece is looked at together."""
+    text = prose(random.Random(22), 1800)
+    rows = [(1, 1, ""), (2, 2, None), (3, 3, text), (4, 4, ""), (5, 5, text[:900])]
+    batch = suffix_dedup.pa.RecordBatch.from_arrays([suffix_dedup.pa.array(c) for c in zip(*rows)], names=["r1", "r2", "t"])
+    seen, anchors = [], suffix_dedup.anchors
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_dedup, "anchors", lambda data, bounds: seen.append(len(data)) or anchors(data, bounds))
+        got = [r for b in suffix_dedup._anchor_rows([batch], piece=1500) for r in b.to_pylist()]
+    whole = [r for b in suffix_dedup._anchor_rows([batch]) for r in b.to_pylist()]
+    windows = lambda rs: sorted((r["h"], r["r1"], r["r2"], r["pos"], o) for r in rs for o in range(r["lo"], r["hi"] + 1))
+    assert windows(got) == windows(whole) and max(seen) <= 2 * 1500
+
+
 def test_index_family_over_many_batches():
     rng = random.Random(3)
     core = prose(rng, 200)
