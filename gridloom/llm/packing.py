@@ -1,8 +1,9 @@
 r"""Packing of tokenised documents into windows by Karmarkar-Karp multiway differencing.
 
 Texts become ids word by word: the tokenizer's normalizer and pre-tokenizer treat what stands between two
-spaces or line ends by itself (tested), so the ids of a word are kept and looked up again. An end id follows
-each document. Pieces of ``capacity`` ids are cut off as full windows; what is left of some thousand
+spaces or line ends by itself (tested), so the ids of a word are kept and looked up again; new words of plain
+letters, digits and signs are cut into pre-tokens here, which go straight to the model. A vocabulary with
+another normalizer or pre-tokenizer encodes whole texts. An end id follows each document. Pieces of ``capacity`` ids are cut off as full windows; what is left of some thousand
 documents is spread over windows at once: partial partitions, at first one piece each, are merged two at a
 time, those with the largest spread first, the fullest window of one with the emptiest of the other, which
 gives near-equal sums. The window count starts at the least possible and rises while a window exceeds
@@ -18,8 +19,11 @@ row; other columns are dropped; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import json
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,56 +38,77 @@ from gridloom.llm.token_counts import load
 CAPACITY = 4096
 GROUP_DOCS, GROUP_TOKENS = 2048, 1_200_000
 CACHE_WORDS, CACHE_LENGTH = 600_000, 48
-#: Letters that keep their length and place under lower-casing and composition.
-_BETWEEN = "•"  # not among them, and never part of a token of theirs
-_PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+# The normalizer and the split of the vocabularies whose words can be encoded one by one.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that keep their length and place under lower-casing and composition, and signs but the apostrophe.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}{_SIGNS}0-9]+")
+_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each Latin-1 letter's UTF-8 bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    sign = {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Known(dict):
+    """Ids of words as little-endian 32-bit bytes, learned as they come up."""
+
+    def __init__(self, tokenizer, older: dict[str, bytes] | None = None):
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.letters, self.pieces = tokenizer, tokenizer.model, _byte_letters(), {}
+        self.older = older or {}  # what was known when this one began
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(word) <= CACHE_LENGTH:
+            self[word] = ids
+        return ids
+
+    def learn(self, word: str) -> bytes:
+        """A plain word goes by its pre-tokens straight to the model, any other through the whole tokenizer."""
+        if word.isascii():
+            if word.isalpha():
+                return self.piece(word.lower())
+            core, last = word[:-1], word[-1]
+            if last in ".,;:!?" and core.isalpha():
+                return self.piece(core.lower()) + self.piece(last)
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.piece, _PIECE.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
+            if len(piece) <= CACHE_LENGTH:
+                self.pieces[piece] = ids
+        return ids
 
 
 class WordIds:
-    """Little-endian 32-bit ids of texts, word by word."""
+    """Little-endian 32-bit ids of texts, word by word where the vocabulary allows it."""
 
     def __init__(self, tokenizer, limit: int = CACHE_WORDS):
         self.limit = limit  # words kept, twice as many at most
-        sign = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
-        self.tokenizer, self.between = tokenizer, sign[0] if len(sign) == 1 else -1
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was known when ``known`` last began anew
+        self.tokenizer, self.known = tokenizer, _Known(tokenizer)
+        made = json.loads(tokenizer.to_str())
+        normal, split = made["normalizer"] or {}, made["pre_tokenizer"] or {}
+        self.by_word = [n["type"] for n in normal.get("normalizers", ())] == _NORMAL and [p.get("pattern") for p in split.get("pretokenizers", ())] == [{"Regex": _SPLIT}, None]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        words = set().union(*split) if split else set()
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        new = [w for w in words if w not in self.known]
-        if self.older:
-            again = [w for w in new if w in self.older]
-            self.known.update(zip(again, map(self.older.__getitem__, again)))
-            new = [w for w in new if w not in self.older]
-        self.learn(new)
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                del self.known[w]
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words. Those of plain European letters go through together, told apart by a sign between them."""
-        plain, rest = [], []
-        for w in words:
-            (plain if w and "<|" not in w and (w.isascii() and w.isprintable() or _PLAIN.fullmatch(w)) else rest).append(w)
-        for at in range(0, len(plain), 4000):
-            part = plain[at : at + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids.view(np.int32) == self.between)
-            if len(cut) != len(part) - 1:  # a vocabulary without a token of its own for it
-                rest += part
-                continue
-            raw, begin, end = ids.tobytes(), [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(begin, end)]))
-        for at in range(0, len(rest), 4000):
-            part = rest[at : at + 4000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known = _Known(self.tokenizer, dict(self.known))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -133,12 +158,16 @@ def differencing(sizes: list[int], windows: int) -> np.ndarray:
 
 def spread(sizes: list[int], capacity: int) -> np.ndarray:
     """Windows of pieces, each at most ``capacity``; as few as differencing can fill."""
-    windows = max(1, -(-sum(sizes) // capacity))
+    total = sum(sizes)
+    windows = max(1, -(-total // capacity))
     while True:
         at = differencing(sizes, windows)
-        if np.bincount(at, sizes, windows).max(initial=0) <= capacity:
+        over = int(np.bincount(at, sizes, windows).max(initial=0)) - capacity
+        if over <= 0:
             return at
-        windows += 1
+        # so many that the fullest fits if it stays as far above the mean
+        mean = total / windows - over
+        windows = max(windows + 1, min(math.ceil(total / mean), windows + windows // 50 + 1) if mean > 0 else 0)
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, dense: float = 0.99) -> list[list[tuple[int, int, int]]]:
@@ -210,7 +239,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CA
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal next_id
             rows, doc_of = [], []
-            for k, sequence in enumerate(pack([len(b) // 4 for b in held], capacity)):
+            for k, sequence in enumerate(pack([len(x) // 4 for x in held], capacity)):
                 offset = 0
                 for doc, start, n in sequence:
                     doc_of.append(doc)
@@ -225,13 +254,15 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = CA
         tokens = 0
         for whole in batches:
             for batch in slices(whole, 1, 1 << 21):
-                for at, ids in enumerate(words.encode(batch.column(1).to_pylist())):
+                taken = 0
+                for at, ids in enumerate(words.encode(batch.column(1).to_pylist()), 1):
                     held.append(ids + end)
-                    held_ids.append(batch.column(0).slice(at, 1))
                     tokens += len(ids) // 4 + 1
                     if len(held) >= GROUP_DOCS or tokens >= GROUP_TOKENS:
+                        held_ids.append(batch.column(0).slice(taken, at - taken))
                         yield from flush()
-                        tokens = 0
+                        tokens, taken = 0, at
+                held_ids.append(batch.column(0).slice(taken))
         if held:
             yield from flush()
 

@@ -178,8 +178,14 @@ def test_components(spark):
 def test_word_ids_equal_whole_texts():
     t = token_counts.load(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["Don't stop <|endoftext|> now  12% ÉTÉ é\nx’s\tİ ﬁne", prose(random.Random(2), 50), None, "", "a" * 90 + " b"]
-    for got, text in zip(packing.WordIds(t).encode(texts), texts):
-        assert got == np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    rng, letters = random.Random(31), "aZéÉßÿ×÷'.<|>_-0٣²ªKİ́ \n\tﬁ’\xa0\xad中"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(3000)] + [f"a{chr(c)}B {chr(c)} {chr(c)}{chr(c)}'s" for c in range(0x20, 0x180)]
+    for words in (packing.WordIds(t), packing.WordIds(t, limit=50)):
+        for k in range(0, len(texts), 200):
+            for got, text in zip(words.encode(texts[k : k + 200]), texts[k : k + 200]):
+                assert got == np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    other = token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.WordIds(other).encode(["a  b", None])[0] == np.array(other.encode("a  b", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_differencing_is_near_equal():
