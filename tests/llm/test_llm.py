@@ -67,7 +67,7 @@ def brute_repeats(texts):
 
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_suffix_dedup(spark, odd, hot):
-    got = suffix_dedup.without_repeats(frame(spark, odd), hot).select("row.doc_id", "row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "row.row").collect()
+    got = suffix_dedup.without_repeats(frame(spark, odd), hot=hot).select("row.doc_id", "row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "row.row").collect()
     want = sorted(map(repr, zip([i for i, _ in odd], brute_repeats([t for _, t in odd]))))
     assert sorted(repr((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))) for r in got) == want
     assert any(r["n_removed"] for r in got) and all(r["row"] == "x" for r in got)
@@ -84,7 +84,7 @@ def test_repeats_at_borders_of_pieces(spark, hot):
     for k, b in enumerate(borders):
         cuts = [(b - rng.randrange(1, 300), 400 + rng.randrange(0, 300)), (b + rng.randrange(0, 400) - 600, 600)]
         texts += [(10 * k + j + 1, prose(rng, 8) + long[s : s + n] + prose(rng, 8)) for j, (s, n) in enumerate(cuts) if (k + j) % 2]
-    got = suffix_dedup.without_repeats(frame(spark, texts), hot, piece=piece).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = suffix_dedup.without_repeats(frame(spark, texts), hot=hot, piece=piece).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = sorted(map(repr, zip([i for i, _ in texts], brute_repeats([t for _, t in texts]))))
     assert len(borders) > 6 and sorted(repr((r["doc_id"], tuple(r)[1:])) for r in got) == want
 
@@ -96,13 +96,59 @@ def test_huge_text_beside_empty_ones():
     batch = suffix_dedup.pa.RecordBatch.from_arrays([suffix_dedup.pa.array(c) for c in zip(*rows)], names=["r1", "r2", "t"])
     seen, anchors = [], suffix_dedup.anchors
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(suffix_dedup, "anchors", lambda data, bounds: seen.append(len(data)) or anchors(data, bounds))
+        m.setattr(suffix_dedup, "anchors", lambda data, *rest: seen.append(len(data)) or anchors(data, *rest))
         got = [r for b in suffix_dedup._anchor_rows([batch], piece=1500) for r in b.to_pylist()]
     whole = [r for b in suffix_dedup._anchor_rows([batch]) for r in b.to_pylist()]
     windows = lambda rs: sorted((r["h"], r["r1"], r["r2"], r["pos"], o) for r in rs for o in range(r["lo"], r["hi"] + 1))
     assert windows(got) == windows(whole) and max(seen) <= 2 * 1500
 
 
+def test_equal_rows_without_ids(spark):
+    """Many equal rows: each keeps nothing of what they share, and their intervals stay one text's."""
+    rng = random.Random(24)
+    text, other = prose(rng, 150), prose(rng, 90)
+    rows = [(None, text)] * 3000 + [(None, prose(rng, 9) + text[:500] + other), (4, other + "x" + text[-450:])]
+    out = suffix_dedup.without_repeats(frame(spark, rows).repartition(7), hot=2).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = Counter(map(tuple, out.collect()))
+    assert got == Counter((i, *w) for (i, _), w in zip(rows, brute_repeats([t for _, t in rows])))
+
+
+def test_text_of_several_megabytes(spark):
+    rng = random.Random(25)
+    block = prose(rng, 20_000)
+    long = "".join(block[k : k + 900] + prose(rng, 12) for k in range(0, 100_000, 1000)) * 28
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(frame(spark, [(1, long), (2, "head " + long[70_000:71_000]), (3, prose(rng, 300))])).select("row.doc_id", "n_removed").collect()}
+    assert len(long) > 2.5 * suffix_dedup.SLICE and got[1]["n_removed"] == len(long) and got[2]["n_removed"] == 1000 and got[3]["n_removed"] == 0
+
+
+def brute_words(texts, length):
+    """Byte texts without the words of any run of ``length`` that occurs again."""
+    split = [list(re.finditer(rb"[^\x20\t-\r]+", (t or "").encode())) for t in texts]
+    own = [[m[0] for m in ms] for ms in split]
+    seen = Counter(tuple(w[k : k + length]) for w in own for k in range(len(w) - length + 1))
+    out = []
+    for text, ms, w in zip(texts, split, own):
+        raw = bytearray((text or "").encode())
+        gone = [False] * len(raw)
+        for k in range(len(w) - length + 1):
+            if seen[tuple(w[k : k + length])] > 1:
+                gone[ms[k].start() : ms[k + length - 1].end()] = [True] * (ms[k + length - 1].end() - ms[k].start())
+        out.append(bytes(b for b, g in zip(raw, gone) if not g).decode())
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_passages_of_words(spark, odd, hot):
+    """Passages of over 50 words go wherever they stand, however short their words; one word less stays."""
+    rng = random.Random(23)
+    texts = list(odd)
+    for k, n in enumerate((49, 50, 51, 52, 60, 70, 75)):
+        passage = " ".join(rng.choice(["a", "of", "é", "it", "the", "rest"]) + rng.choice("bcdfg") for _ in range(n))
+        texts += [(100 + 10 * k + j, f"{prose(rng, 20 + 7 * j)}\n{passage}\t {prose(rng, 9)}") for j in range(3)]
+    got = sorted((r["doc_id"] or 0, r["kept_text"]) for r in suffix_dedup.without_repeats(frame(spark, texts), length=51, gram=10, words=True, hot=hot).select("row.doc_id", "kept_text").collect())
+    assert got == sorted((i or 0, t) for (i, _), t in zip(texts, brute_words([t for _, t in texts], 51)))
+
+
 def test_index_family_over_many_batches():
     rng = random.Random(3)
     core = prose(rng, 200)
