@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,9 +66,11 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, ddl: str, run: Callab
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests, local runs)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set and all executors are threads of the driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -97,6 +99,21 @@ class Cuts:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def running(cuts: Cuts, df: DataFrame, order: list[F.Column], values: dict[str, F.Column]) -> DataFrame:
+    """``df`` with, for each of ``values``, the sum over all rows that come before in ``order`` (which is total).
+
+    Rows are written in range partitions; a window runs inside each, and one over a row per partition
+    connects them, so no task holds the table.
+    """
+    parts = cuts.write(df.select("*", *(v.alias(f"_v_{n}") for n, v in values.items())).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(F.col("_part").alias("_at")).agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
+    totals = totals.select("_at", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values))  # a row for each partition
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = parts.join(F.broadcast(totals), F.col("_part") == F.col("_at"))
+    return joined.select(*df.columns, *((F.col(f"_b_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))).alias(n) for n in values))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """A broadcast hint only where a count shows that the side stays under ``limit`` bytes; beyond it the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

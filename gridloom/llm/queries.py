@@ -43,7 +43,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.mixture import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,25 +91,36 @@ SQL: dict[str, str] = {}
 SQL["op5_source_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
-         (CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
+e AS (SELECT *, (CAST(('0x' || substr(key, 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u, CAST(floor(100 * sqrt(size)) AS BIGINT) AS w FROM d),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM t),
-w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[1 + (place - 1) % 3] AS weight FROM r),
-f AS (SELECT *, 2.0::DOUBLE * source_size / weight AS full_at FROM w),
-g AS (SELECT *, sum(source_size) OVER () AS total,
+v AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[1 + (place - 1) % 3] AS weight FROM r),
+f AS (SELECT *, 2.0::DOUBLE * source_size / weight AS full_at FROM v),
+g AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total,
         coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
         sum(weight) OVER (ORDER BY full_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM f),
 c AS (SELECT *, (1.5::DOUBLE * total - capped) / open_w AS c FROM g),
 l AS (SELECT c AS level FROM c WHERE c <= full_at ORDER BY full_at, place LIMIT 1),
 p AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM l), 0) * weight) AS target FROM c),
-j AS (SELECT d.doc_id, d.size, d.u, p.*, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS m FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-k AS (SELECT *, floor(m) AS certain, m - floor(m) AS pr FROM j),
-q AS (SELECT *, CASE WHEN pr > 0 THEN u / (1 - u) * (1 - pr) / pr END AS q FROM k),
-a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q NULLS FIRST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q)
+m AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS certain FROM p),
+o AS (SELECT *, target - certain * source_size AS open FROM m),
+h AS (SELECT source, size, w, count(*) AS n FROM e WHERE size > 0 GROUP BY source, size, w),
+i AS (SELECT h.*, o.open,
+        CAST(coalesce(sum(n * size) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS above,
+        CAST(sum(n * size * w) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS mass
+      FROM h JOIN o ON h.source IS NOT DISTINCT FROM o.source WHERE o.open > 0),
+j AS (SELECT *, (open - above) / mass::DOUBLE AS k FROM i),
+b AS (SELECT source, max(size) AS top, arg_max(k, size) AS k, arg_max(open - above, size) AS rest FROM j WHERE k * w <= 1 GROUP BY source),
+x AS (SELECT e.*, o.source_size, o.target, o.certain, b.top, b.rest,
+        CASE WHEN e.size > 0 AND e.size <= b.top THEN u / (1 - u) * (1 - b.k * w) / (b.k * w) END AS q
+      FROM e JOIN o ON e.source IS NOT DISTINCT FROM o.source LEFT JOIN b ON e.source IS NOT DISTINCT FROM b.source),
+y AS (SELECT *, sum(size) OVER (PARTITION BY source, q, key) AS own,
+        sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM x)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (certain + CASE WHEN pr > 0 AND ahead + size / 2.0::DOUBLE <= target - certain * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM a
+       CAST(size * (certain + CASE WHEN size > top OR (q IS NOT NULL AND so_far - own + own / 2.0::DOUBLE <= rest) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM y
 """
 
 SQL["op6_url_rules"] = r"""

@@ -273,8 +273,12 @@ def test_packing(spark, odd):
 def test_mixture(spark):
     rng = random.Random(6)
     docs = [(k, prose(rng, rng.randrange(1, 60)), rng.choice(["a", "b", "c", None]) if k % 3 else "a") for k in range(600)] + [(None, None, "zero"), (1, docs_text := "x y", "b")]
-    got = mixture.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
-    again = mixture.mix(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)).collect()
+    frame_of = lambda: spark.createDataFrame([(*d, 1, "k", 2.0, 3) for d in docs], "doc_id long, text string, source string, size long, key string, q double, target long")
+    made = lambda df: mixture.mix(df).select("row.doc_id", "size", "source_size", "target", "taken").collect()
+    got, again = made(frame_of()), made(frame_of().repartition(3))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixture, "BROADCAST_SOURCES", 0)  # many sources: joined by shuffle
+        assert sorted(map(repr, got)) == sorted(map(repr, made(frame_of())))
     assert sorted(map(repr, got)) == sorted(map(repr, again)) and docs_text
     sizes, taken, target = Counter(), Counter(), {}
     for r in got:
@@ -287,6 +291,36 @@ def test_mixture(spark):
         assert want <= 2 * s + 1e-9 and abs(taken[s] - want) <= 60
 
 
+def test_longer_documents_are_likelier(spark):
+    """Equal targets and sizes, but the sample leans to long documents, and certain ones are always in."""
+    rng = random.Random(16)
+    docs = [(k, prose(rng, 100 if k % 2 else 4), "ab"[k % 4 // 2]) for k in range(2000)]
+    got = mixture.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights=(1, 9), factor=0.7, cap=1.0).select("row.doc_id", "row.source", "size", "copies", "target", "source_size").collect()
+    share = lambda size: np.mean([r["copies"] for r in got if r["source"] == "a" and r["size"] == size])
+    assert share(100) > 2 * share(4) and {r["copies"] for r in got if r["target"] == r["source_size"]} <= {1}
+
+
+def test_equal_rows_are_taken_alike(spark):
+    rows = [(None, "a b c", "s")] * 50 + [(None, f"d e {k}", "s") for k in range(50)] + [(1, "x y", "t")] * 40
+    got = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("row.*", "copies", "taken", "target").collect()
+    assert len(got) == 140 and len({r["copies"] for r in got if r["text"] == "a b c"}) == len({r["copies"] for r in got if r["source"] == "t"}) == 1
+    for s, most in (("s", 75), ("t", 40)):  # half of the words of a text's equal rows
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= most
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_registered_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rows = queries.QUERIES[name](spark, SF)
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert len(want) >= 50 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in rows.collect())
+
+
 # -- 6 ----------------------------------------------------------------------------------------------
 
 
