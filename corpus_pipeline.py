@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of ``docs``.
+
+Rows are told apart by id and text together, so ids may be null or shared, and a decision about one
+row never touches another. All stages give an empty result for an empty table and keep further columns as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,38 +18,51 @@ from gridloom.llm import jaccard_join, mixture, packing, suffix_dedup, toxicity
 from gridloom.llm.common import Cuts, table
 
 
+#: What counts as a repeated passage: so many words in a row, found by anchors of so many.
+PASSAGE_WORDS, ANCHOR_WORDS = 51, 10
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold; trained on all labels."""
+    """Documents whose toxicity score stays below the threshold; trained on all labels. Null and empty texts stay
+    (they have no hits), repeated rows share their fate, a null id only lacks a label."""
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
     return toxicity.toxicity(rows, lexicon, id_col="row", text_col="t").filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays, in one row; documents without an id stay."""
-    groups = jaccard_join.jaccard_groups(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of near duplicates the row with the smallest id stays (null ids last, then the smallest hash of
+    id and text), so reruns agree. Rows equal in id and text become one; null and empty texts are near to nothing."""
+    cuts = Cuts(spark)
+    text, name = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, F.lit(5), name).alias("k2"))
+    groups = cuts.write(jaccard_join.jaccard_groups(rows.select("k1", F.col("row.text").alias("text")), id_col="k1"))
+    order = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "k1")
+    many = groups.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1")
+    members = groups.join(many, "component_id").select("k1", "component_id").join(rows.select("k1", order.alias("place")), "k1")
+    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    goes = members.join(first, "component_id").filter("k1 <> first.k1").select("k1").distinct()
+    return rows.join(goes, "k1", "left_anti").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that repeat across the corpus; untouched texts stay as they are."""
-    made = suffix_dedup.without_repeats(docs)
+    """Texts without the passages of over 50 words that stand anywhere else too, all occurrences of them; untouched texts
+    stay as they are, null ones too. A text may become empty; its row stays."""
+    made = suffix_dedup.without_repeats(docs, PASSAGE_WORDS, ANCHOR_WORDS, words=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
     return made.select(*({"text": text, "n_chars": n_chars}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; equal rows as often as the one taken most."""
-    taken = mixture.mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    joined = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    """Each row as often as the mix takes it; what has no words has nothing to give and goes. A null source is one of its own."""
+    made = mixture.mix(docs).filter("taken > 0")
+    return made.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows; few words are kept, as the workers hold what earlier stages keep."""
+    """Pieces of token windows; few words are kept, as the workers hold what earlier stages keep. Null and empty texts have
+    their end id only."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=50_000)
 
 
