@@ -144,7 +144,7 @@ def components(spark: SparkSession, edges: DataFrame, cuts: Cuts, max_rounds: in
             .distinct()
         )
         new = cuts.write(small)
-        now = new.agg(F.count("*"), F.expr("coalesce(sum(xxhash64(u, v) % 1000003), 0)"), F.sum("v")).first()
+        now = new.agg(F.count("*"), F.expr("coalesce(sum(xxhash64(u, v) % 1000003), 0)"), F.expr("bit_xor(xxhash64(v, u))")).first()
         cuts.drop(star)
         star = new
         if mark == now:
