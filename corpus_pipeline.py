@@ -34,8 +34,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the row with the smallest id stays (null ids last, then the smallest hash of
     id and text), so reruns agree. Rows equal in id and text become one; null and empty texts are near to nothing."""
     cuts = Cuts(spark)
-    text, name = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, F.lit(5), name).alias("k2"))
+    name = F.col("doc_id").cast("string")
+    own = [F.isnull(name), name, F.isnull("text"), F.col("text")]  # xxhash64 passes over nulls
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*own).alias("k1"), F.xxhash64(*reversed(own)).alias("k2"))
     groups = cuts.write(jaccard_join.jaccard_groups(rows.select("k1", F.col("row.text").alias("text")), id_col="k1"))
     order = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "k1")
     many = groups.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1")
