@@ -201,6 +201,49 @@ def test_vectors(spark):
     assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, False)
 
 
+def brute_vectors(rows, threshold=0.9):
+    """Links and smallest reachable id of each row with an id, by exact cosines of scaled vectors of equal length."""
+    sound = [(i, np.array(v, float) / max(map(abs, v))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    linked = [(a, b) for a in range(len(sound)) for b in range(a) if len(sound[a][1]) == len(sound[b][1]) and sound[a][1] @ sound[b][1] >= threshold * np.sqrt((sound[a][1] @ sound[a][1]) * (sound[b][1] @ sound[b][1]))]
+    n, low = Counter(), {i: i for i, _ in rows if i is not None}
+    for a, b in linked:
+        n[sound[a][0]] += 1
+        n[sound[b][0]] += 1
+    for _ in range(len(low)):
+        for a, b in linked:
+            low[sound[a][0]] = low[sound[b][0]] = min(low[sound[a][0]], low[sound[b][0]])
+    return n, low
+
+
+def test_vectors_of_all_kinds(spark):
+    """Several lengths, extreme values, shared and huge ids, repeated rows."""
+    rng = np.random.default_rng(14)
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (5, [3e-200, 3.1e-200]), (6, [1e200, 1e200]), (7, [5e-324, 5e-324]), (8, [-1e308, 1e308]), (9, []), (10, [2.0]), (11, [1e-300]), (12, [-1.0]), (12, [-3.0]), ((1 << 62) + 5, [2.0]), ((1 << 62) + 4, [2.0])]
+    base = rng.normal(size=(20, 5))
+    rows += [(100 + k, [float(x) for x in v]) for k, v in enumerate(np.vstack([base, base[:8] + rng.normal(scale=0.05, size=(8, 5)), base[:2]]))]
+    n, low = brute_vectors(rows)
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, rep string, w long")
+    for block in (2048, 4):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_links.near_vectors(df, recall=0.99999, block=block).collect()}
+        assert got[12][1:] == (12, True) and got.pop(12)  # its two vectors link with each other
+        assert got == {i: (n[i], low[i], low[i] == i) for i, _ in rows if i != 12}
+
+
+def test_recall_at_the_threshold(spark):
+    """Production parameters, pairs barely over the threshold: nearly all are found, and nothing below it."""
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = np.where(np.arange(1500) % 3 == 0, 0.89, 0.905)[:, None]
+    x = np.vstack([base, cosine * base + np.sqrt(1 - cosine**2) * aside])
+    got = vector_links.near_vectors(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()
+    linked = {r["vec_id"] for r in got if r["n_links"]}
+    assert 0.94 * 2000 <= len(linked) and all(k % 1500 % 3 for k in linked) and all(r["component_id"] == r["vec_id"] % 1500 for r in got if r["n_links"])
+
+
 def test_large_bucket_in_blocks(spark):
     rng = np.random.default_rng(4)
     x = np.ones((150, 8)) + rng.normal(scale=0.02, size=(150, 8))
