@@ -1,28 +1,33 @@
 r"""Language identification by a bidirectional gated recurrent network over bytes.
 
-Training (numpy, back-propagation through time, Adam) runs on the driver over windows cut at random from
-at most ``sample`` labelled texts (the smallest hashes of their ids). Each direction reads byte embeddings
+Training (numpy, back-propagation through time, Adam) runs on the driver over windows of ``WINDOW`` bytes. The
+executors draw them, ``DRAWN`` from anywhere in each of at most ``sample`` labelled texts (the smallest
+hashes of their ids), so what comes to the driver is bounded in bytes. Each direction reads byte embeddings
 folded into its input weights; every position gets a probability for each language from both hidden
 states, and a document's probabilities are the mean over all its positions.
 
 Prediction reads every byte of every whole text, in segments of ``SEGMENT`` bytes that start afresh.
-Edge cases: null texts and texts without a letter give ``und`` with score 0; when there is nothing to learn
+Edge cases: null, empty texts and texts without a letter give ``und`` with score 0; when there is nothing to learn
 from, every text does; texts are their UTF-8 bytes; repeated rows repeat; other columns are dropped.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm.common import map_texts
+from gridloom.llm.common import map_texts, slices
 
 SEGMENT = 128
 HIDDEN = 8
+WINDOW, DRAWN = 48, 16
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -48,15 +53,24 @@ def new_weights(n_langs: int, hidden: int, rng: np.random.Generator) -> dict[str
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
+def flipped(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(steps, rows, ...) with each row's first ``lengths`` steps in reverse, so that padding stays behind; its own inverse."""
+    if (lengths == len(x)).all():
+        return x[::-1]
+    at = np.arange(len(x))[:, None]
+    at = np.where(at < lengths, lengths - 1 - at, at)
+    return np.take_along_axis(x, at.reshape(at.shape + (1,) * (x.ndim - 2)), axis=0)
+
+
 def _direction(w: dict[str, np.ndarray], d: str, seq: np.ndarray, tape: list | None = None) -> np.ndarray:
     """Hidden states of one direction, (steps, rows, hidden); seq: (steps, rows) bytes in reading order."""
     steps, rows = seq.shape
     u, c = w[f"u{d}"], w[f"c{d}"]
     x_all = w[f"x{d}"]
     k = u.shape[0]
-    h = np.zeros((rows, k), np.float32)
-    out = np.empty((steps, rows, k), np.float32)
-    half = np.float32(0.5)
+    h = np.zeros((rows, k), u.dtype)
+    out = np.empty((steps, rows, k), u.dtype)
+    half = u.dtype.type(0.5)
     for t in range(steps):
         x = x_all.take(seq[t], axis=0)
         g = h @ u
@@ -99,41 +113,49 @@ def _back(w: dict[str, np.ndarray], d: str, seq: np.ndarray, tape: list, dh_out:
     grads[f"x{d}"], grads[f"u{d}"], grads[f"c{d}"] = gx, gu, gc
 
 
-def fit(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int = 350, rows: int = 128, length: int = 48, seed: int = 7) -> Model:
-    """Back-propagation through time over random windows; positions of padding carry no loss."""
+def loss_and_grads(w: dict[str, np.ndarray], seq: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over the positions of ``mask`` (steps, rows, 1) and its gradients."""
+    hidden, rows, lengths = w["cf"].shape[0], np.arange(seq.shape[1]), mask[:, :, 0].sum(axis=0).astype(int)
+    back = flipped(seq, lengths)
+    tape_f: list = []
+    tape_b: list = []
+    hf = _direction(w, "f", seq, tape_f)
+    hb = flipped(_direction(w, "b", back, tape_b), lengths)
+    both = np.concatenate([hf, hb], axis=2)
+    logits = both @ w["out"] + w["bias"]
+    p = np.exp(logits - logits.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    loss = -float((np.log(p[:, rows, y]) * mask[:, :, 0]).sum() / mask.sum())
+    p[:, rows, y] -= 1
+    p *= mask / mask.sum()
+    flat = p.reshape(-1, len(w["bias"]))
+    grads = {"out": both.reshape(-1, 2 * hidden).T @ flat, "bias": flat.sum(axis=0)}
+    d_both = p @ w["out"].T
+    _back(w, "f", seq, tape_f, d_both[:, :, :hidden], grads)
+    _back(w, "b", back, tape_b, flipped(d_both[:, :, hidden:], lengths), grads)
+    return loss, grads
+
+
+def fit(windows: list[bytes], langs: list[str], hidden: int = HIDDEN, steps: int = 350, rows: int = 128, seed: int = 7) -> Model:
+    """Back-propagation through time over windows, languages drawn alike; positions of padding carry no loss."""
     names = sorted(set(langs))
     if not names:
         return Model([], {})
     rng = np.random.default_rng(seed)
-    data = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
+    data = [np.frombuffer(t, np.uint8) for t in windows]
+    length = max(1, *map(len, data))
     by = [[k for k, l in enumerate(langs) if l == name and len(data[k])] for name in names]
     by_names = [k for k, own in enumerate(by) if own]
     w = new_weights(len(names), hidden, rng)
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v = {k: np.zeros_like(x) for k, x in w.items()}
-    for step in range(1, steps + 1):
-        y = rng.choice(by_names, rows) if by_names else np.zeros(rows, int)
+    for step in range(1, steps + 1) if by_names else ():
+        y = rng.choice(by_names, rows)
         seq, mask = np.zeros((length, rows), np.uint8), np.zeros((length, rows, 1), np.float32)
         for j, label in enumerate(y):
-            text = data[by[label][rng.integers(len(by[label]))]]
-            at = rng.integers(max(1, len(text) - length + 1))
-            part = text[at : at + length]
+            part = data[by[label][rng.integers(len(by[label]))]]
             seq[: len(part), j], mask[: len(part), j] = part, 1
-        tape_f: list = []
-        tape_b: list = []
-        hf = _direction(w, "f", seq, tape_f)
-        hb = _direction(w, "b", seq[::-1], tape_b)[::-1]
-        both = np.concatenate([hf, hb], axis=2)
-        logits = both @ w["out"] + w["bias"]
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[:, np.arange(rows), y] -= 1
-        p *= mask / mask.sum()
-        flat = p.reshape(-1, len(names))
-        grads = {"out": both.reshape(-1, 2 * hidden).T @ flat, "bias": flat.sum(axis=0)}
-        d_both = p @ w["out"].T
-        _back(w, "f", seq, tape_f, d_both[:, :, :hidden], grads)
-        _back(w, "b", seq[::-1], tape_b, d_both[::-1, :, hidden:], grads)
+        _, grads = loss_and_grads(w, seq, mask, y)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
@@ -157,7 +179,7 @@ def position_sums(model: Model, data: np.ndarray, lengths: np.ndarray, block: in
             continue
         seq = np.ascontiguousarray(data[rows, :steps].T)
         hf = _direction(w, "f", seq)
-        hb = _direction(w, "b", seq[::-1])[::-1]
+        hb = flipped(_direction(w, "b", flipped(seq, lengths[rows])), lengths[rows])
         logits = hf.reshape(-1, hidden) @ w["out"][:hidden]
         logits += hb.reshape(-1, hidden) @ w["out"][hidden:]
         logits += w["bias"]
@@ -189,14 +211,31 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return langs, scores
 
 
-def train(docs: DataFrame, sample: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
-    """Fits on at most ``sample`` labelled rows, the smallest hashes of their ids, with whole texts."""
+def windows_of(raw: bytes, seed: int, count: int = DRAWN, length: int = WINDOW) -> list[bytes]:
+    """Windows from anywhere in a text, the same ones for the same seed; a short text whole."""
+    if len(raw) <= length:
+        return [raw] if raw else []
+    return [raw[at : at + length] for at in np.random.default_rng(seed).integers(0, len(raw) - length + 1, count).tolist()]
+
+
+def train(docs: DataFrame, sample: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
+    """Fits on windows of at most ``sample`` labelled rows, the smallest hashes of their ids."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     chosen = labelled.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    # at most ``sample`` ids: broadcast; then one text for each
-    rows = labelled.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r"))
-    rows = rows.select("id", "r.lang", "r.text").orderBy("id").collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 3):
+                seeds, langs, ids, texts = (c.to_pylist() for c in batch.columns)
+                drawn = [windows_of(t.encode("utf-8", "replace"), s & 0xFFFFFFFF) for s, t in zip(seeds, texts)]
+                yield pa.RecordBatch.from_pydict({"id": batch.column(2), "lang": batch.column(1), "windows": pa.array(drawn, pa.list_(pa.binary()))})
+
+    # at most ``sample`` ids: broadcast; then one text's windows for each
+    own = labelled.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("seed"), "lang", "id", "text")
+    made = own.mapInArrow(draw, T.StructType([own.schema["id"], T.StructField("lang", T.StringType()), T.StructField("windows", T.ArrayType(T.BinaryType()))]))
+    rows = made.groupBy("id").agg(F.min(F.struct("lang", "windows")).alias("r")).select("id", "r.*").orderBy("id").collect()
+    pairs = [(bytes(x), r["lang"]) for r in rows for x in r["windows"]]
+    return fit([x for x, _ in pairs], [l for _, l in pairs], **options)
 
 
 def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

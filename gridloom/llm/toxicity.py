@@ -7,7 +7,7 @@ with a space, and ends with one when it is a whole word; patterns without it are
 Lexicon. Document frequencies of words and word beginnings in toxic and clean training texts give smoothed
 log-odds weights; a beginning stands for its extensions when it is as pure as they are. Exception
 phrases are word pairs with a lexicon word that clean training texts hold and toxic ones (almost) never
-do, besides those given; a hit inside an exception phrase doesn't count. A text's hits add up their
+do, besides those a caller gives (none unless so); a hit inside an exception phrase doesn't count. A text's hits add up their
 weights; the sum and the sum for each hundred words go through a logistic curve fitted to training texts.
 
 Training uses at most ``sample`` labelled rows (the smallest hashes of their ids), whatever the table's
@@ -19,6 +19,7 @@ count; repeated rows repeat; other columns are dropped; without training rows ev
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -38,7 +39,6 @@ LOOK_ALIKES = {
     "a": "аαɑ@4", "b": "ЬвβƄ8", "c": "сϲ", "d": "ԁ", "e": "еєε3€", "f": "ƒ", "g": "ɡ9", "h": "һ", "i": "іιı1!|", "j": "ј", "k": "кκ", "l": "ӏ",
     "m": "м", "n": "пη", "o": "оο0ө", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ5$", "t": "тτ7+", "u": "υս", "v": "ѵν", "w": "ԝω", "x": "хχ×", "y": "уγ", "z": "ʐ",
 }
-EXCEPTIONS = ("trash can", "trash bag", "trash bin", "circus clown", "clown fish", "pond scum")
 PREFIXES = (4, 5, 6, 7)
 SUPPORT = 5
 TERMS_KEPT = 200_000  # in a task, before their counts go on
@@ -96,7 +96,11 @@ def measure(automaton, folded: str) -> tuple[float, float]:
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+    if spared:  # of those that begin by ``s`` the one that reaches furthest decides
+        spared.sort()
+        starts, reach = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+        best = {s: w for s, w in best.items() if not (k := bisect.bisect_right(starts, s)) or reach[k - 1] <= s}
+    total = sum(best.values())
     return total, 100.0 * total / max(20, len(folded.split())) if total else 0.0
 
 
@@ -159,7 +163,7 @@ def features(total: np.ndarray, rate: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+          exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from labelled training rows. ``sample`` bounds the rows: the smallest hashes of their ids;
     a term needs ``support`` toxic texts among them, however many there are, and down to 3 where they are few."""
     spark = docs.sparkSession
