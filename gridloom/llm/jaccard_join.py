@@ -8,12 +8,15 @@ r"""Exact Jaccard join of documents on word n-grams, as a join in a metric space
 3. Islands. Shingles are ordered by how many of the remaining sets hold them; a linked pair shares one of
    each side's first n - ceil(similarity * n) + 1 (prefix filter). Connected components over them are
    islands: no link leaves one.
-4. Metric join. Jaccard distance is a metric. An island too large for a task is divided by pivots into
+4. Metric join. Jaccard distance is a metric. Pivots, no two of them within the radius, divide an island into
    Voronoi regions: a document goes to its nearest pivot and, by the triangle inequality, as a guest to
-   every pivot at most twice the radius further; regions still too large divide again, and those that pivots
-   don't divide are dealt out as pairs of blocks. Inside a task, a pivot is compared exactly with every
-   member in its window; a member needs no comparison of its own once all members that the distances to
-   earlier pivots leave possible are in its component already.
+   every pivot at most twice the radius further. Documents within the radius of a pivot are its core: they link
+   with it at once and need no comparison among each other, so a region that is all core is done.
+   Regions divide again; those that pivots don't divide are dealt out as pairs of blocks. An island of at
+   most ``TASK_SHINGLES`` is divided inside one task, by the same pivots and windows, as handing it on would cost a
+   shuffle and save nothing: there a pivot is compared exactly with every member in its window, and a
+   member needs no comparison of its own once all members that the distances to earlier pivots leave
+   possible are in its component already.
 5. Components of the links give the smallest reachable id.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; fewer words than the
@@ -38,7 +41,8 @@ from gridloom.llm.common import Cuts, arrow_schema, broadcast_if_small, componen
 from gridloom.llm.shingles import shingle_set
 
 SPREAD = "bucket int, chunk long, kind int, ids binary, counts binary, data binary"
-TASK_SHINGLES = 3_000_000
+TASK_SHINGLES = 1_000_000  # some 8 MB of hashes
+BUCKET_SHINGLES = 8_000_000  # hashes counted at once; with their order some 200 MB
 PIVOTS = 12
 
 
@@ -110,7 +114,7 @@ def _frequencies(h: np.ndarray) -> np.ndarray:
     return df
 
 
-def _screen(spread: DataFrame) -> DataFrame:
+def _screen(spread: DataFrame, buckets: int) -> DataFrame:
     """``id, n, digest, shared``: how many of a document's shingles others hold. Counts come back chunk by chunk."""
     ddl = "chunk long, kind int, ids binary, counts binary, data binary"
 
@@ -143,7 +147,7 @@ def _screen(spread: DataFrame) -> DataFrame:
                 ids, d = np.frombuffer(own["ids"], np.int64), own["data"]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(own["counts"], np.int32)), pa.array([d[k : k + 16] for k in range(0, len(d), 16)], pa.binary()), pa.array([total[i] for i in ids.tolist()], pa.int64())], schema=schema)
 
-    counted = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, ddl)
+    counted = spread.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, ddl)
     gathered = counted.groupBy("chunk").agg(F.collect_list(F.struct("kind", "ids", "counts", "data")).alias("parts"))  # one batch of texts
     return gathered.select("parts").mapInArrow(add, "id long, n int, digest binary, shared long")
 
@@ -213,7 +217,7 @@ def _rarity(chunks: DataFrame, buckets: int) -> DataFrame:
             parts = [df[e - len(r["data"]) // 4 : e].tobytes() for e, r in zip(ends, rows)]
             yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows]), pa.array(np.full(len(rows), bucket, np.int32)), pa.array(parts, pa.binary())], schema=schema)
 
-    return chunks.mapInArrow(spread, "chunk long, bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "chunk long, bucket int, df binary")
+    return chunks.mapInArrow(spread, "chunk long, bucket int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "chunk long, bucket int, df binary")
 
 
 def _prefixes(chunks: DataFrame, rarity: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -260,10 +264,12 @@ class Region:
         return np.add.reduceat((pivot[at] == flat).astype(np.int64), np.cumsum(n) - n)
 
 
-def join_region(region: Region, percent: int) -> np.ndarray:
-    """For each member the smallest index in its component: exact, by pivots and triangle windows."""
+def join_region(region: Region, percent: int, core: np.ndarray | None = None) -> np.ndarray:
+    """For each member the smallest index in its component: exact, by pivots and triangle windows. ``core`` members are linked already."""
     n, count = region.n, len(region.n)
     label = np.arange(count)
+    if core is not None and core.any():
+        label[core] = np.flatnonzero(core)[0]
     done = np.zeros(count, bool)
     radius = 1 - percent / 100 + 1e-9
     distances: list[np.ndarray] = []  # to pivots that were compared with all members
@@ -296,102 +302,121 @@ def join_region(region: Region, percent: int) -> np.ndarray:
 # -- regions ----------------------------------------------------------------------------------------
 
 
+_REGION = "region long, id long, set binary, core boolean, pivot long"
+
+
+def _distances(h: np.ndarray, pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles with each pivot, and the distances."""
+    common = np.array([len(np.intersect1d(h, q, assume_unique=True)) for q in pivots])
+    return common, 1 - common / (len(h) + np.array([len(q) for q in pivots]) - common)
+
+
 def _divide(cuts: Cuts, rows: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
-    """One Voronoi step: ``region, id, n, set`` of large regions to the regions of their pivots."""
-    pivots = (
-        rows.withColumn("rank", F.xxhash64("region", "id")).groupBy("region").agg(F.min_by(F.struct("id", "set"), F.struct("rank", "id")).alias("p0"), *(F.min_by(F.struct("id", "set"), F.struct(F.xxhash64("id", F.lit(k)), "id")).alias(f"p{k}") for k in range(1, PIVOTS)))
-    )
+    """One Voronoi step. Rows with a ``set`` are members of their pivots' regions, those with a ``pivot`` links to it."""
+    one = F.struct("id", "set")
+    pivots = rows.groupBy("region").agg(*(F.min_by(one, F.struct(F.xxhash64("region", "id", F.lit(k)), "id")).alias(f"p{k}") for k in range(PIVOTS)))
     spread = weights.withColumn("salts", F.ceil(F.col("weight") / TASK_SHINGLES).cast("int"))
-    lead = pivots.join(spread, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.array(*(F.col(f"p{k}.set") for k in range(PIVOTS))).alias("pivots"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("set"), F.lit(0).alias("kind"))
-    body = rows.join(spread, "region").select("region", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("pivots"), "id", "set", F.lit(1).alias("kind"))
+    lead = pivots.join(spread, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.array(*(F.col(f"p{k}") for k in range(PIVOTS))).alias("pivots"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("set"), F.lit(0).alias("kind"))
+    body = rows.join(spread, "region").select("region", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("array<struct<id:bigint,set:binary>>").alias("pivots"), "id", "set", F.lit(1).alias("kind"))
     radius = 1 - percent / 100 + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("region long, id long, set binary")
+        schema = arrow_schema(_REGION)
         pivots: list[np.ndarray] = []
         for batch in batches:
             out = []
             for region, _, p, i, s, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
-                    pivots = [np.frombuffer(x, np.uint64) for x in dict.fromkeys(p)]
+                    pivots, ids = [], []
+                    for own in p:  # no two within the radius
+                        h = np.frombuffer(own["set"], np.uint64)
+                        if not pivots or _distances(h, pivots)[1].min() > radius:
+                            pivots.append(h)
+                            ids.append(own["id"])
+                    sizes = np.array([len(q) for q in pivots])
                     continue
                 h = np.frombuffer(s, np.uint64)
-                common = np.array([len(np.intersect1d(h, q, assume_unique=True)) for q in pivots])
-                d = 1 - common / (len(h) + np.array([len(q) for q in pivots]) - common)
-                home = int(d.argmin())
-                out += [(xxhash.xxh3_64_intdigest(f"{region}:{k}") >> 1, i, s) for k in range(len(pivots)) if k == home or d[k] <= d[home] + 2 * radius]
+                common, d = _distances(h, pivots)
+                core, home = linked(common, sizes, len(h), percent), d.min()
+                for k in range(len(pivots)):
+                    if core[k] and ids[k] != i:
+                        out.append((None, i, None, None, ids[k]))
+                    if d[k] <= home + 2 * radius:
+                        out.append((xxhash.xxh3_64_intdigest(f"{region}:{k}") >> 1, i, s, bool(core[k]), None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     both = lead.unionByName(body).repartition("region", "salt").sortWithinPartitions("region", "salt", "kind")
-    return cuts.write(both.select("region", "salt", "pivots", "id", "set", "kind").mapInArrow(run, "region long, id long, set binary"))
+    return cuts.write(both.select("region", "salt", "pivots", "id", "set", "kind").mapInArrow(run, _REGION))
 
 
 def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: each member with the smallest member of its component; rows: ``region, i, j, id, set``."""
+    """``a, b``: each member with the smallest member of its component; rows: ``region, i, j, id, set, core``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("a long, b long")
-        key, ids, sets = None, [], []
+        key, ids, sets, cores = None, [], [], []
 
         def made() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
+            if len(ids) > 1 and not all(cores):
                 order = np.argsort(ids)
                 region = Region(np.array(ids)[order], [np.frombuffer(sets[k], np.uint64) for k in order])
-                label = join_region(region, percent)
+                label = join_region(region, percent, np.array(cores)[order])
                 hit = label != np.arange(len(label))
                 if hit.any():
                     yield pa.RecordBatch.from_arrays([pa.array(region.ids[hit]), pa.array(region.ids[label[hit]])], schema=schema)
 
         for batch in batches:
-            for region, i, j, doc, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for region, i, j, doc, s, core in zip(*(c.to_pylist() for c in batch.columns)):
                 if (region, i, j) != key:
                     yield from made()
-                    key, ids, sets = (region, i, j), [], []
+                    key, ids, sets, cores = (region, i, j), [], [], []
                 ids.append(doc)
                 sets.append(s)
+                cores.append(core)
         yield from made()
 
-    return rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").select("region", "i", "j", "id", "set").mapInArrow(run, "a long, b long")
+    return rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").select("region", "i", "j", "id", "set", "core").mapInArrow(run, "a long, b long")
 
 
 def metric_join(cuts: Cuts, regions: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """Links of ``region, id, set`` as ``a, b`` edges that have the same components as all links."""
-    spark = regions.sparkSession
-    weigh = lambda r: r.groupBy("region").agg(F.sum(F.length("set") / 8).alias("weight"), F.count("*").alias("members")).filter("members > 1")
-    weights = cuts.write(weigh(regions))
-    ready, large = [], regions
-    for _ in range(rounds):
-        ready.append(large.join(weights.filter(F.col("weight") <= TASK_SHINGLES), "region").select("region", "id", "set"))
+    members = ["region", "id", "set", "core"]
+    large = regions.withColumn("core", F.lit(False))
+    rows = links = None
+    for k in range(rounds + 1):
+        found = large.groupBy("region").agg(F.sum(F.length("set") / 8).alias("weight"), F.count("*").alias("members"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("ring"))
+        weights = cuts.write(found.filter("members > 1 AND ring > 0").select("region", "weight"))
+        small = large.join(weights.filter(F.col("weight") <= TASK_SHINGLES), "region").select(*members, F.lit(0).alias("i"), F.lit(0).alias("j"))
+        rows = small if rows is None else rows.unionByName(small)
         big = weights.filter(F.col("weight") > TASK_SHINGLES)
         if big.isEmpty():
-            large = None
             break
-        large = _divide(cuts, large.join(big, "region").select("region", "id", "set"), big.select("region", "weight"), percent)
-        weights = cuts.write(weigh(large))
-    else:
-        ready.append(large.join(weights.filter(F.col("weight") <= TASK_SHINGLES), "region").select("region", "id", "set"))
-        big = weights.filter(F.col("weight") > TASK_SHINGLES)
-        large = None if big.isEmpty() else large.join(big, "region").select("region", "id", "set", F.ceil(2 * F.col("weight") / TASK_SHINGLES).cast("int").alias("blocks"))
-    rows = ready[0]
-    for r in ready[1:]:
-        rows = rows.union(r)
-    rows = rows.select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "set")
-    if large is not None:  # pairs of blocks
-        mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        other = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.union(other.select("region", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "set"))
-    return cuts.write(_join_regions(rows, percent))
+        large = large.join(big, "region")
+        if k == rounds:  # pairs of blocks
+            blocks = F.ceil(2 * F.col("weight") / TASK_SHINGLES).cast("int")
+            mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+            dealt = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            rows = rows.unionByName(dealt.select(*members, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+            break
+        made = _divide(cuts, large.select("region", "id", "set"), big, percent)
+        direct = made.filter("pivot IS NOT NULL").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        links = direct if links is None else links.union(direct)
+        large = made.filter("pivot IS NULL").select(*members)
+    inside = cuts.write(_join_regions(rows, percent))
+    return inside if links is None else inside.union(links)
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id``; the id column holds integers."""
     spark = docs.sparkSession
     cuts = Cuts(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.filter("id is not null")
-    counted = cuts.write(_screen(_spread_texts(known, buckets, size)).groupBy("id").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "digest")).alias("s"), F.sum("shared").alias("shared")).select("id", "s.n", "s.digest", "shared"))
+    # a word and its space are two bytes at least, and five or more on average: buckets follow the text, not the cluster
+    size_of = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_of // (5 * BUCKET_SHINGLES)))
+    counted = cuts.write(_screen(_spread_texts(known, buckets, size), buckets).groupBy("id").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "digest")).alias("s"), F.sum("shared").alias("shared")).select("id", "s.n", "s.digest", "shared"))
     equal = counted.filter((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).select("id", "n", "digest")
     reps = equal.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     reps = cuts.write(reps)

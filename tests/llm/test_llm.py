@@ -486,7 +486,7 @@ def test_jaccard_on_odd_rows(spark, odd):
     assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == [0, want[1][0]]
 
 
-@pytest.mark.parametrize("limit", [3_000_000, 600])
+@pytest.mark.parametrize("limit", [1_000_000, 600, 100])
 def test_jaccard_families(spark, monkeypatch, limit):
     """Families of copies with growing distance; a small limit makes regions divide and fall to blocks."""
     monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", limit)
