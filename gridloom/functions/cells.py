@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The cell patterns and blank sets that the results depend on. Each operator has its own set.
-NUMBER = r"^\(?-?[0-9,]+(\.[0-9]+)?%?\)?$"
-CASTABLE = r"^[(\-+−]?\s*[0-9,]+(\.[0-9]+)?\s*[)%*†§¶#‡]?$"
-MERGED = r"[0-9][0-9,]*(\.[0-9]+)?\s+[(]?[0-9]"
-RUN_OF_NUMBERS = r"^(\(?-?[0-9,]+(\.[0-9]+)?%?\)?\s+){3,}\(?-?[0-9,]+(\.[0-9]+)?%?\)?$"
+NUMBER = r"^\(?-?[\p{Nd},]+(\.\p{Nd}+)?%?\)?$"
+CASTABLE = r"^[(\-+−]?\s*[\p{Nd},]+(\.\p{Nd}+)?\s*[)%*†§¶#‡]?$"
+MERGED = r"\p{Nd}[\p{Nd},]*(\.\p{Nd}+)?\s+[(]?\p{Nd}"
+RUN_OF_NUMBERS = r"^(\(?-?[\p{Nd},]+(\.\p{Nd}+)?%?\)?\s+){3,}\(?-?[\p{Nd},]+(\.\p{Nd}+)?%?\)?$"
 VALUE = (
-    r"(?i)^\(?([0-9]{4}\s*[-–]\s*[0-9]{2,4}|(rs\.?|₹|inr)\s*[0-9,]+(\.[0-9]+)?\s*(lakh|lakhs|crore|cr\.?|thousand|k)?"
-    r"|[0-9,]+(\.[0-9]+)?\s*(lakh|lakhs|crore|cr\.?|%)|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{1,3}[.)])\)?$"
+    r"(?i)^\(?(\p{Nd}{4}\s*[-–]\s*\p{Nd}{2,4}|(rs\.?|₹|inr)\s*[\p{Nd},]+(\.\p{Nd}+)?\s*(lakh|lakhs|crore|cr\.?|thousand|k)?"
+    r"|[\p{Nd},]+(\.\p{Nd}+)?\s*(lakh|lakhs|crore|cr\.?|%)|\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}{2,4}|\p{Nd}{1,3}[.)])\)?$"
 )
 MONTH = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|nov(ember)?|dec(ember)?)\.?$"
-YEAR_CELL = r"^(19|20)[0-9]{2}\s*([-–/]\s*[0-9]{2,4})?$"
-FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+YEAR_CELL = r"^(19|20)\p{Nd}{2}\s*([-–/]\s*\p{Nd}{2,4})?$"
+FLOAT = r"^[+-]?(\p{Nd}+\.?\p{Nd}*|\.\p{Nd}+)([eE][+-]?\p{Nd}+)?$"
 MISSING = ("", "nan", "None")
 BLANK = ("", "nan", "none", "-", "–", "—")
 HEADER_PLACEHOLDERS = ("", "nan", "none", "-", "–", "—", "−", "n.a.", "na", "n/a", "nil", "..", "...", "*")
 NUMERIC_PLACEHOLDERS = (*HEADER_PLACEHOLDERS, "neg", "negligible")
 SCORE_PLACEHOLDERS = ("-", "–", "—", "−", "na", "n.a.", "n/a", "nil", "..", "...", "*")
 FOOTNOTES = "%*†§¶#‡"
+#: Decimal digits of other scripts (as the character database has them) and what they stand for.
+DIGITS = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd")
+DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 
 
 def strip(v: Column) -> Column:
@@ -30,6 +35,11 @@ def strip(v: Column) -> Column:
     return F.regexp_replace(F.coalesce(v, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+def ascii_digits(v: Column) -> Column:
+    """With decimal digits of any script as 0 to 9."""
+    return F.when(v.rlike(r"[^\x00-\x7F]"), F.translate(v, DIGITS, DIGIT_VALUES)).otherwise(v)
+
+
 def missing(v: Column) -> Column:
     return strip(v).isin(*MISSING)
 
@@ -57,7 +67,7 @@ def is_month(v: Column) -> Column:
 
 def is_year(v: Column) -> Column:
     """A fiscal span anywhere, or a bare year of 1900 to 2099."""
-    return strip(v).rlike(r"[0-9]{4}[-–][0-9]{2}") | strip(v).rlike(r"^(19|20)[0-9]{2}$")
+    return strip(v).rlike(r"\p{Nd}{4}[-–]\p{Nd}{2}") | strip(v).rlike(r"^(19|20)\p{Nd}{2}$")
 
 
 def words(v: Column) -> Column:
@@ -80,6 +90,6 @@ def to_number(v: Column) -> Column:
     ends = f"[{FOOTNOTES}]+$"
     negative = s.startswith("(") & F.regexp_replace(signed, ends, "").endswith(")")
     bare = strip(F.regexp_replace(signed, r"^[()]+|[()]+$", ""))
-    bare = F.regexp_replace(strip(F.regexp_replace(bare, ends, "")), ",", "")
+    bare = ascii_digits(F.regexp_replace(strip(F.regexp_replace(bare, ends, "")), ",", ""))
     value = F.when(bare.rlike(FLOAT), bare.try_cast("double"))
     return F.when(F.lower(s).isin(*NUMERIC_PLACEHOLDERS), F.lit(None).cast("double")).otherwise(F.when(negative, -value).otherwise(value))

@@ -35,8 +35,8 @@ STATES = (
     "Andaman and Nicobar Islands", "Chandigarh", "Dadra and Nagar Haveli and Daman and Diu", "Dadra Nagar Haveli and Daman Diu", "Jammu and Kashmir", "Ladakh", "Lakshadweep", "NCT of Delhi", "Puducherry",
 )
 STATE_FRAGMENTS = {"tam nadu": "Tamil Nadu", "tel angana": "Telangana", "of delhi": "NCT of Delhi"}
-TITLE = r"(?i)(Table|Tabel|Statement|Annexure|Appendix)[\s\-:.]*\(?\s*([0-9]+([.\-][0-9]+)*)\s*\)?[\s\-:.]*(.*)"
-TITLE_PREFIX = r"(?i)^(table|tabel|statement|annexure|appendix|chapter|figure)\b[\s\-]*(no\.?)?[\s\-]*([0-9]+[A-Za-z]?(\.[0-9]+)*)?[\s:.\-]+"
+TITLE = r"(?i)(Table|Tabel|Statement|Annexure|Appendix)[\s\-:.]*\(?\s*(\p{Nd}+([.\-]\p{Nd}+)*)\s*\)?[\s\-:.]*(.*)"
+TITLE_PREFIX = r"(?i)^(table|tabel|statement|annexure|appendix|chapter|figure)\b[\s\-]*(no\.?)?[\s\-]*(\p{Nd}+[A-Za-z]?(\.\p{Nd}+)*)?[\s:.\-]+"
 CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k kh g gh ng ch chh j jh ny t th d dh n t th d dh n p ph b bh m y r l v sh sh s h".split()))
 VOWELS = dict(zip("अआइईउऊएऐओऔऋ", "a aa i ee u oo e ai o au ri".split()))
 SIGNS = dict(zip("ािीुूेैोौृंँः", "aa i ee u oo e ai o au ri n n h".split()))
@@ -172,11 +172,11 @@ def clean_column_name(name: Column, keep: tuple[str, ...] = ()) -> Column:
     vowels = lambda w: F.length(w) - F.length(F.regexp_replace(w, "[aeiou]", ""))
     plausible = lambda w: (F.length(w) >= 3) & (vowels(w) > 0) & (w.isin(*keep, "") | (vowels(w) >= 0.25 * F.length(w)))
     words = F.slice(F.array_distinct(F.filter(F.regexp_extract_all(n, F.lit("([a-z]+)"), F.lit(1)), plausible)), 1, 4)
-    years = F.transform(F.regexp_extract_all(n, F.lit("([0-9]{4}[_-][0-9]{2})"), F.lit(1)), lambda y: F.replace(y, F.lit("-"), F.lit("_")))
+    years = F.transform(F.regexp_extract_all(n, F.lit(r"(\p{Nd}{4}[_-]\p{Nd}{2})"), F.lit(1)), lambda y: F.replace(y, F.lit("-"), F.lit("_")))
     made = F.array_join(F.concat(words, F.array_distinct(years)), "_")
     return (
         F.when(n.rlike("^(indicator|nfhs[0-9](_(urban|rural|total))?(_[0-9]+)?)$"), n).when(n.rlike(r"^s?l?[._\s]*no[._\s]*$"), "s_no")
-        .when(n.rlike("^[0-9]{4}[_-][0-9]{2}$"), F.replace(n, F.lit("-"), F.lit("_"))).when(made != "", made)
+        .when(n.rlike(r"^\p{Nd}{4}[_-]\p{Nd}{2}$"), F.replace(n, F.lit("-"), F.lit("_"))).when(made != "", made)
     )
 
 
@@ -213,7 +213,7 @@ def plain_title(text: Column, least: float = 0.45) -> Column:
         ok = C.word_count(said).between(2, 16) & ~line.rlike(r"[.;]\s|[.;]$") & (F.length(said) >= least * F.length(line))
         return F.when(ok, F.when(said.rlike(r"(?i)\bIndicators?\b"), repair_state(said)).otherwise(said))
 
-    line = M.bind(M.bind(C.strip(text), without(TITLE_PREFIX)), without(r"^\s*([0-9]{1,2}|[A-Za-z])[.)]\s+"))
+    line = M.bind(M.bind(C.strip(text), without(TITLE_PREFIX)), without(r"^\s*(\p{Nd}{1,2}|[A-Za-z])[.)]\s+"))
     return M.bind(M.bind(line, lambda x: F.struct(x.alias("line"), title_words(x, 16).alias("said"))), judged)
 
 

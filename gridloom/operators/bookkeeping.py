@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import cells as C
 from gridloom.functions import text as X
 
 
@@ -25,8 +26,8 @@ def fallback_names(tables: DataFrame) -> DataFrame:
 
 def sheet_base(table_id: Column, name: Column) -> Column:
     """T, the table's code, and the first three telling words, without signs a sheet must not have."""
-    code = F.coalesce(F.nullif(F.regexp_extract(name, r"(?i)(?:table|annexure|statement)\s*([0-9]+(?:[.][0-9]+)*)", 1), F.lit("")), table_id.cast("string"))
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " "), lambda w: (F.length(w) > 2) & ~w.isin("table", "annexure", "statement", "the", "and", "for") & ~w.rlike("^[0-9]+$")), 1, 3)
+    code = F.coalesce(F.nullif(F.regexp_extract(name, r"(?i)(?:table|annexure|statement)\s*(\p{Nd}+(?:[.]\p{Nd}+)*)", 1), F.lit("")), table_id.cast("string"))
+    words = F.slice(F.filter(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " "), lambda w: (F.length(w) > 2) & ~w.isin("table", "annexure", "statement", "the", "and", "for") & ~w.rlike(r"^\p{Nd}+$")), 1, 3)
     return F.substring(F.regexp_replace(F.concat_ws("_", F.concat(F.lit("T"), code), F.nullif(F.array_join(words, "_"), F.lit(""))), r"[\[\]:*?/\\]", "_"), 1, 28)
 
 
@@ -39,7 +40,7 @@ def sheet_names(tables: DataFrame) -> DataFrame:
 
 def written_number(v: Column) -> Column:
     """What a sheet stores for a cell: whole and decimal texts as numbers."""
-    return F.struct(F.when(v.rlike("^-?[0-9]+$"), "int").when(v.rlike(r"^-?[0-9]*\.[0-9]+$"), "float").otherwise("text").alias("kind"), F.when(v.rlike(r"^-?[0-9]+$|^-?[0-9]*\.[0-9]+$"), v.try_cast("double")).alias("num"))
+    return F.struct(F.when(v.rlike(r"^-?\p{Nd}+$"), "int").when(v.rlike(r"^-?\p{Nd}*\.\p{Nd}+$"), "float").otherwise("text").alias("kind"), F.when(v.rlike(r"^-?\p{Nd}+$|^-?\p{Nd}*\.\p{Nd}+$"), C.ascii_digits(v).try_cast("double")).alias("num"))
 
 
 def search(catalog_: DataFrame, query: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from gridloom import model as M
 
 # Value tokens, and tolerances in points.
-VALUE_TOKEN = r"^\(?-?[0-9,]{3,}(\.[0-9]+)?\)?$|^\(?-?[0-9]{1,3}\.[0-9]+\)?$|^\(?-?0\)?$"
-LEAD = r"^\(?-?[0-9]{1,3}$"
+VALUE_TOKEN = r"^\(?-?[\p{Nd},]{3,}(\.\p{Nd}+)?\)?$|^\(?-?\p{Nd}{1,3}\.\p{Nd}+\)?$|^\(?-?0\)?$"
+LEAD = r"^\(?-?\p{Nd}{1,3}$"
 LINE, EDGE, SNAP, GAP, CLUSTER = 3.0, 12.0, 6.0, 6.0, 3
 PAGE = ("doc_id", "page")
 TOKEN = "struct<x0:double,x1:double,top:double,text:string>"

@@ -15,10 +15,10 @@ from gridloom.operators import structure as S
 
 # Numbering rows, table titles inside headers, ranges, months that got crushed.
 INDEX_CELL = r"^\(?[0-9]{1,2}\.?\)?$"
-TITLE_FRAGMENT = r"(?i)\b(table|tabel|statement|annexure|appendix)\b(\s*\(?\s*[0-9]+([.\-][0-9]+)*\s*\)?)?"
-RANGE = r"^([0-9]{1,3}\s*[-–]\s*[0-9]{1,3}|[0-9]{1,3}\s*\+)$"
-YEAR_SPAN = r"\b(19|20)[0-9]{2}\s*([-–/]\s*[0-9]{2,4})?\b"
-MONTH_TOKEN = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|nov(ember)?|dec(ember)?)[.'’\- ]*[0-9]{0,4}$"
+TITLE_FRAGMENT = r"(?i)\b(table|tabel|statement|annexure|appendix)\b(\s*\(?\s*\p{Nd}+([.\-]\p{Nd}+)*\s*\)?)?"
+RANGE = r"^(\p{Nd}{1,3}\s*[-–]\s*\p{Nd}{1,3}|\p{Nd}{1,3}\s*\+)$"
+YEAR_SPAN = r"\b(19|20)\p{Nd}{2}\s*([-–/]\s*\p{Nd}{2,4})?\b"
+MONTH_TOKEN = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|nov(ember)?|dec(ember)?)[.'’\- ]*\p{Nd}{0,4}$"
 MONTHISH = r"^(col(_[0-9]+)?|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(_(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|[0-9]{2,4}))*)$"
 HEADER_WORDS = tuple(
     "rural urban male female person persons age ages group groups years year status industry sector work worker workers activity education level general current weekly usual "
@@ -31,11 +31,11 @@ def header_rows(rows: Column) -> Column:
     """How many rows the header takes: to the last month row, a legacy mark, the first year row, the first mostly numeric row."""
     top = M.head(rows, 8)
     cells = lambda r: F.filter(R.non_empty(r), lambda v: F.lit(True))
-    numbers = lambda r: M.count(cells(r), lambda v: F.regexp_replace(v, " ", "").rlike(r"^-?[0-9,]+(\.[0-9]+)?%?$"))
+    numbers = lambda r: M.count(cells(r), lambda v: F.regexp_replace(v, " ", "").rlike(r"^-?[\p{Nd},]+(\.\p{Nd}+)?%?$"))
     dense = lambda r, share, least: (F.size(cells(r)) > 0) & (numbers(r) >= share * F.size(cells(r))) & (numbers(r) >= least)
     years = lambda r: M.count(r, lambda v: C.strip(v).rlike(C.YEAR_CELL)) >= 2
     month = F.array_max(F.transform(top, lambda r, i: F.when(R.is_month_header(r), i)))
-    mark = M.first_index(top, lambda r: F.array_join(r, " ").rlike("¿[0-9]+À"))
+    mark = M.first_index(top, lambda r: F.array_join(r, " ").rlike(r"¿\p{Nd}+À"))
     year = M.first_index(top, years)
     data = F.get(F.filter(F.transform(top, lambda r, i: F.when(dense(r, 0.5, 2) & ~(years(r) & (i == year)).eqNullSafe(F.lit(True)), i)), lambda i: i.isNotNull()), F.lit(0))
     first = M.first_index(top, lambda r: dense(r, 0.3, 1))
@@ -165,7 +165,7 @@ def spread_months(names: Column, band: Column) -> Column:
 
 def lead_names(tables: DataFrame) -> DataFrame:
     """A first column of serials is s_no; of two district columns the last one's cells become the second column."""
-    digits = M.count(F.slice("rows", 1, 10), lambda r: C.strip(F.get(r, F.lit(0))).rlike("^[0-9]+$")) >= 5
+    digits = M.count(F.slice("rows", 1, 10), lambda r: C.strip(F.get(r, F.lit(0))).rlike(r"^\p{Nd}+$")) >= 5
     t = tables.withColumn("names", F.when(digits & (F.size("names") > 0), F.transform("names", lambda n, i: F.when(i == 0, "s_no").otherwise(n))).otherwise(F.col("names")))
     at = F.filter(F.transform("names", lambda n, i: F.when(F.lower(n).contains("district"), i)), lambda i: i.isNotNull())
     t = t.withColumn("_d", F.when(F.size(at) >= 2, F.element_at(at, -1)))

@@ -14,9 +14,9 @@ from gridloom.functions import cells as C
 from gridloom.operators import rows as R
 
 # Explicit titles, numbered sections, lines of units, bands in shares of a page or points.
-TITLE_LINE = r"(?i)^(table|tabel|statement|annexure|appendix)\s*[\(\-:.]?\s*[0-9]"
-SECTION_LINE = r"^[0-9]{1,2}(\.[0-9]{1,2})+[\s\-–:]+[A-Z]"
-TITLE_INSIDE = r"(?i)\b(table|tabel|statement|annexure|appendix)\b\s*[0-9]"
+TITLE_LINE = r"(?i)^(table|tabel|statement|annexure|appendix)\s*[\(\-:.]?\s*\p{Nd}"
+SECTION_LINE = r"^\p{Nd}{1,2}(\.\p{Nd}{1,2})+[\s\-–:]+[A-Z]"
+TITLE_INSIDE = r"(?i)\b(table|tabel|statement|annexure|appendix)\b\s*\p{Nd}"
 UNIT_LINE = r"(?i)₹|crore|per cent|\blakh\b|million|billion|base\s*[:y]|end-march|end-"
 FRAME, FRAME_BAND, TOP, PREVIOUS, HEADER_BAND = 0.85, 0.2, 0.15, 0.7, 58.0
 PAGE = ("doc_id", "page")

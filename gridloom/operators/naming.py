@@ -11,10 +11,10 @@ from gridloom.functions import text as X
 from gridloom.operators import rows as R
 
 # What the cells of each role look like, in the order in which roles are tried.
-DOTTED = r"^\(?[0-9]{1,4}\.[0-9]{1,4}\)?$"
-GROUP = r"^[0-9]{3,4}$"
-SERIAL = r"^\(?[0-9]{1,3}\)?\.?$"
-MONTHS = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(t|tember)?|oct(ober)?|nov(ember)?|dec(ember)?)([,'\s\-–]+[0-9]{2,4})?$"
+DOTTED = r"^\(?\p{Nd}{1,4}\.\p{Nd}{1,4}\)?$"
+GROUP = r"^\p{Nd}{3,4}$"
+SERIAL = r"^\(?\p{Nd}{1,3}\)?\.?$"
+MONTHS = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(t|tember)?|oct(ober)?|nov(ember)?|dec(ember)?)([,'\s\-–]+\p{Nd}{2,4})?$"
 LEVELS = (
     "division", "sub-division", "subdivision", "sub division", "group", "sub-group", "subgroup", "sub group", "family", "major", "minor", "unit", "section", "sub-major", "submajor",
     "class", "subclass", "sub-class",
@@ -24,23 +24,23 @@ STATES = (
     "maharashtra", "manipur", "meghalaya", "mizoram", "nagaland", "odisha", "punjab", "rajasthan", "sikkim", "tamil nadu", "telangana", "tripura", "uttar pradesh", "uttarakhand",
     "west bengal", "jammu and kashmir", "ladakh", "delhi", "puducherry", "chandigarh",
 )
-STATE_PREFIX = r"(?i)^(?:[0-9]{1,3}\s*[.)]\s*)?(?:government\s+of\s+)?(?:the\s+)?(?:union\s+territory\s+of\s+)?(?:nct\s+of\s+)?"
-YEARS = r"^(19|20)[0-9]{2}([-–/][0-9]{2,4})?$"
-PERCENT = r"^\(?-?[0-9]+(\.[0-9]+)?\s*%\)?$"
-DATE = r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}$|^[0-9]{1,2}\s*[-/ ]\s*[A-Za-z]{3,9}\s*[-/ ]\s*[0-9]{2,4}$|^[A-Za-z]{3,9}\s+[0-9]{4}$"
+STATE_PREFIX = r"(?i)^(?:\p{Nd}{1,3}\s*[.)]\s*)?(?:government\s+of\s+)?(?:the\s+)?(?:union\s+territory\s+of\s+)?(?:nct\s+of\s+)?"
+YEARS = r"^(19|20)\p{Nd}{2}([-–/]\p{Nd}{2,4})?$"
+PERCENT = r"^\(?-?\p{Nd}+(\.\p{Nd}+)?\s*%\)?$"
+DATE = r"^\p{Nd}{1,2}[-/.]\p{Nd}{1,2}[-/.]\p{Nd}{2,4}$|^\p{Nd}{1,2}\s*[-/ ]\s*[A-Za-z]{3,9}\s*[-/ ]\s*\p{Nd}{2,4}$|^[A-Za-z]{3,9}\s+\p{Nd}{4}$"
 CONFIDENT = ("code", "level", "state", "year", "percentage", "date", "month", "s_no")
 #: Words a column name keeps whatever their vowels.
 KEEP = "census table scheduled school students crop growth".split()
 
 
 def state_core(v: Column) -> Column:
-    return F.lower(C.strip(F.regexp_replace(F.regexp_replace(C.strip(v), STATE_PREFIX, ""), r"\s*[-–]\s*[0-9]{1,3}$", "")))
+    return F.lower(C.strip(F.regexp_replace(F.regexp_replace(C.strip(v), STATE_PREFIX, ""), r"\s*[-–]\s*\p{Nd}{1,3}$", "")))
 
 
 def is_serial_run(values: Column) -> Column:
     """Four in five are short numbers that begin at 2 or less and rise by 0 to 3."""
     own = F.filter(values, lambda v: v.rlike(SERIAL))
-    n = F.transform(own, lambda v: F.regexp_replace(v, "[^0-9]", "").try_cast("int"))
+    n = F.transform(own, lambda v: F.regexp_replace(C.ascii_digits(v), "[^0-9]", "").try_cast("int"))
     steps = F.transform(n, lambda x, i: F.when(i > 0, x - F.get(n, i - 1)).otherwise(0))
     return (F.size(values) >= 3) & (F.size(own) >= 0.8 * F.size(values)) & (F.get(n, F.lit(0)) <= 2) & F.forall(steps, lambda d: d.between(0, 3))
 
@@ -119,7 +119,7 @@ def clean_names(rows: Column, names: Column, drop_second: bool = True, keep: tup
 def table_name(rows: Column, header_rows: Column, caption: Column) -> Column:
     """A numbered title of caption or header cells, a numbered section, a caption line, or a lone cell of the top three rows."""
     in_header = F.filter(F.transform(M.flat(M.head(rows, header_rows)), X.numbered_title), lambda t: t.isNotNull())
-    section = r"^\s*([0-9]+(?:\.[0-9]+)+)[\s\-–:]+([^(\n]{3,90})"
+    section = r"^\s*(\p{Nd}+(?:\.\p{Nd}+)+)[\s\-–:]+([^(\n]{3,90})"
     words = C.words(F.regexp_replace(C.strip(F.regexp_extract(caption, section, 2)), r"[–\- ]+$", ""))
     numbered = F.when(caption.rlike(section) & (M.count(words, lambda w: w.rlike("[A-Za-z]")) >= 2), F.concat_ws(" ", F.regexp_extract(caption, section, 1), F.array_join(F.slice(words, 1, 18), " ")))
     lines = F.filter(F.transform(F.split(caption, "\n"), lambda t: X.plain_title(t)), lambda t: t.isNotNull())
@@ -136,7 +136,7 @@ def named_fraction(names: Column) -> Column:
 
 
 def is_strong_title(name: Column) -> Column:
-    return F.coalesce(C.strip(name).rlike(r"(?i)^(table|tabel|statement|annexure|appendix)\b|^[0-9]{1,2}(\.[0-9]{1,2})+\s"), F.lit(False))
+    return F.coalesce(C.strip(name).rlike(r"(?i)^(table|tabel|statement|annexure|appendix)\b|^\p{Nd}{1,2}(\.\p{Nd}{1,2})+\s"), F.lit(False))
 
 
 def are_entity_variants(a: Column, b: Column) -> Column:

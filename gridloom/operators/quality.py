@@ -11,9 +11,9 @@ from gridloom.functions import text as X
 from gridloom.operators import rows as R
 
 # Codes, measures and names without meaning.
-STRUCTURED_CODE = r"^[0-9]{3,4}\.[0-9]{2,4}$"
-RECORD_CODE = r"^\(?[0-9]{1,4}(\.[0-9]{1,4})?\)?$"
-MEASURE = r"^\(?-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\)?%?$|^\(?-?[0-9]+\.[0-9]{1,2}\)?%?$|^-?[0-9]{1,2}(\.[0-9]+)?%$"
+STRUCTURED_CODE = r"^\p{Nd}{3,4}\.\p{Nd}{2,4}$"
+RECORD_CODE = r"^\(?\p{Nd}{1,4}(\.\p{Nd}{1,4})?\)?$"
+MEASURE = r"^\(?-?\p{Nd}{1,3}(,\p{Nd}{3})+(\.\p{Nd}+)?\)?%?$|^\(?-?\p{Nd}+\.\p{Nd}{1,2}\)?%?$|^-?\p{Nd}{1,2}(\.\p{Nd}+)?%$"
 GENERIC = r"^(col|value|label)(_[0-9]+)?$"
 NAMELESS = r"^col(_[0-9]+)?$"
 SUBLABELS = ("rural", "urban", "total", "male", "female", "males", "females", "person", "persons")
@@ -103,7 +103,7 @@ def corruption(rows: Column) -> Column:
 def is_composite(name: Column) -> Column:
     """A header of three parts, or two with a sub-label or a year."""
     parts = F.filter(F.split(name, "_"), lambda p: p != "")
-    return (F.size(parts) >= 3) | ((F.size(parts) >= 2) & F.exists(parts, lambda p: p.isin(*SUBLABELS) | p.rlike("^(19|20)[0-9]{2}$")))
+    return (F.size(parts) >= 3) | ((F.size(parts) >= 2) & F.exists(parts, lambda p: p.isin(*SUBLABELS) | p.rlike(r"^(19|20)\p{Nd}{2}$")))
 
 
 def metrics(rows: Column, names: Column, title: Column) -> Column:

@@ -21,8 +21,8 @@ HEADING_WORDS = (
     r"(?i)\b(distribution|number|percentage|proportion|ratio|rate|trends?|share|estimate[ds]?|coverage|prevalence|growth|index|average|summary|profile|indicators?|statistics?|status|composition"
     r"|classification|state[\s\-]?wise|district[\s\-]?wise|category[\s\-]?wise|by\s+(age|sex|state|district|sector|type|group|category|level))\b"
 )
-FRAGMENT = r"^-?[0-9,]+(\.[0-9]+)?%?$"
-INDEX_ONLY = r"^\(?[0-9]{1,2}\)?$"
+FRAGMENT = r"^-?[\p{Nd},]+(\.\p{Nd}+)?%?$"
+INDEX_ONLY = r"^\(?\p{Nd}{1,2}\)?$"
 
 
 def non_empty(r: Column) -> Column:
@@ -50,7 +50,7 @@ def normal_cell(v: Column) -> Column:
 
 def is_garbage(r: Column) -> Column:
     text = F.lower(F.array_join(F.transform(r, lambda v: F.coalesce(v, F.lit("nan"))), " "))
-    return text.rlike(r"^(¿[0-9]+à[\s,]*)+$") | text.rlike("^nan$|^unnamed|^none$")
+    return text.rlike(r"^(¿\p{Nd}+à[\s,]*)+$") | text.rlike("^nan$|^unnamed|^none$")
 
 
 def is_year_header(r: Column) -> Column:
@@ -69,7 +69,7 @@ def is_data(r: Column) -> Column:
     """A serial and three numbers, or numbers in most of at least three cells."""
     v = F.filter(F.transform(r, C.strip), lambda x: x != "")
     n = M.count(v, C.is_float)
-    serial = C.strip(F.get(r, F.lit(0))).rlike("^[0-9]+$")
+    serial = C.strip(F.get(r, F.lit(0))).rlike(r"^\p{Nd}+$")
     return (F.size(v) >= 3) & (n >= 3) & (serial | (n >= F.size(v) * 0.6))
 
 
@@ -81,10 +81,10 @@ def is_index_legend(r: Column) -> Column:
     """1 2 3 ... as printed under a header: small, ascending, in one cell each or together."""
     v = non_empty(r)
     tokens = F.flatten(F.transform(v, C.words))
-    numbers = F.transform(tokens, lambda t: F.regexp_replace(t, "[^0-9]", "").try_cast("int"))
+    numbers = F.transform(tokens, lambda t: F.regexp_replace(C.ascii_digits(t), "[^0-9]", "").try_cast("int"))
     rising = F.forall(F.zip_with(F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0))), F.slice(numbers, 1, F.greatest(F.size(numbers) - 1, F.lit(0))), lambda b, a: b > a), lambda ok: ok)
     ends = (F.get(numbers, F.lit(0)) <= 3) & (F.element_at(numbers, -1) <= 40)
-    return F.when(F.size(tokens) >= 2, F.forall(tokens, lambda t: t.rlike(r"^\(?[0-9]{1,2}\)?$")) & rising & ends).otherwise(False)
+    return F.when(F.size(tokens) >= 2, F.forall(tokens, lambda t: t.rlike(r"^\(?\p{Nd}{1,2}\)?$")) & rising & ends).otherwise(False)
 
 
 def is_sub_header(r: Column, columns: Column) -> Column:
@@ -105,7 +105,7 @@ def is_label_only(r: Column) -> Column:
 
 def is_section_title(text: Column) -> Column:
     """A group's title, not a numbered line or the rest of a wrapped one."""
-    return (text != "") & ~text.rlike(r"^[0-9]+\s*\.") & ~text.rlike(r"^(\p{Ll}|\()") & ~C.strip(text).endswith("(%)")
+    return (text != "") & ~text.rlike(r"^\p{Nd}+\s*\.") & ~text.rlike(r"^(\p{Ll}|\()") & ~C.strip(text).endswith("(%)")
 
 
 def is_orphan(r: Column) -> Column:
@@ -152,7 +152,7 @@ def spread_crushed_header(rows: Column) -> Column:
 
 def header_missing(rows: Column) -> Column:
     """The rows above the first data row (a leading digit in the top eight) label too few columns with short labels."""
-    at = M.first_index(M.head(rows, 8), lambda r: C.strip(F.get(r, F.lit(0))).rlike(r"^\(?[0-9]"))
+    at = M.first_index(M.head(rows, 8), lambda r: C.strip(F.get(r, F.lit(0))).rlike(r"^\(?\p{Nd}"))
     labels = lambda r: F.filter(F.transform(r, lambda v, i: F.struct(C.strip(v).alias("v"), i.alias("i"))), lambda x: ~x["v"].isin(*C.MISSING) & ~x["v"].rlike(INDEX_ONLY))
     short = F.filter(F.transform(M.head(rows, F.coalesce(at, F.lit(0))), labels), lambda x: F.forall(x, lambda c: C.word_count(c["v"]) <= 3))
     named = F.size(F.array_distinct(F.transform(F.flatten(short), lambda c: c["i"])))

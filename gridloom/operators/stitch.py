@@ -84,7 +84,7 @@ def stitch(tables: DataFrame, stitched: DataFrame, distinct: bool = True) -> Dat
 def carry_captions(items: DataFrame, pages: int = 5) -> DataFrame:
     """Blank captions take the last section heading of the document, at most five pages back."""
     w = Window.partitionBy("doc_id").orderBy("page", "table_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heading = F.trim("caption").rlike(r"(?i)^(chapter|section|part|annex(ure)?)\b") | F.trim("caption").rlike(r"^[0-9]{1,2}(\.[0-9]{1,2})+[\s\-–:]+[A-Z]")
+    heading = F.trim("caption").rlike(r"(?i)^(chapter|section|part|annex(ure)?)\b") | F.trim("caption").rlike(r"^\p{Nd}{1,2}(\.\p{Nd}{1,2})+[\s\-–:]+[A-Z]")
     last = F.last(F.when(heading, F.struct("caption", "page")), ignorenulls=True).over(w)
     t = items.withColumn("_l", last)
     blank = F.coalesce(F.trim("caption"), F.lit("")) == ""

@@ -14,11 +14,11 @@ from gridloom.functions import cells as C
 from gridloom.operators import rows as R
 
 # Patterns of stacked titles and of entries printed one after another in a cell.
-STACK_TITLE = r"(?i)^(table|tabel|statement|annexure|appendix)\s*[\(\-:.]?\s*[0-9]"
-ENTRY = r"[0-9]+(?:\.[0-9]+)?\s+[A-Z][A-Za-z\s()&/,.-]{3,}[0-9]+(?:\.[0-9]+)?"
-ENTRY_BOUNDARY = r"(?<=[0-9])\s+(?=[0-9]+[\s.]\s*[A-Z])"
-SERIAL_FIRST = r"^([0-9]+)\s+([A-Z][A-Za-z\s()&/,.-]+?)\s+([0-9]+(?:\.[0-9]+)?)$"
-VALUE_FIRST = r"^([0-9]+(?:\.[0-9]+)?)\s+([A-Z][A-Za-z\s()&/,.-]+?)\s+([0-9]+)$"
+STACK_TITLE = r"(?i)^(table|tabel|statement|annexure|appendix)\s*[\(\-:.]?\s*\p{Nd}"
+ENTRY = r"\p{Nd}+(?:\.\p{Nd}+)?\s+[A-Z][A-Za-z\s()&/,.-]{3,}\p{Nd}+(?:\.\p{Nd}+)?"
+ENTRY_BOUNDARY = r"(?<=\p{Nd})\s+(?=\p{Nd}+[\s.]\s*[A-Z])"
+SERIAL_FIRST = r"^(\p{Nd}+)\s+([A-Z][A-Za-z\s()&/,.-]+?)\s+(\p{Nd}+(?:\.\p{Nd}+)?)$"
+VALUE_FIRST = r"^(\p{Nd}+(?:\.\p{Nd}+)?)\s+([A-Z][A-Za-z\s()&/,.-]+?)\s+(\p{Nd}+)$"
 
 
 def letters(rows: Column, kind) -> Column:
@@ -93,7 +93,7 @@ def reassemble_wrapped(rows: Column) -> Column:
 
     def kind(r: Column) -> Column:
         text = C.strip(F.get(r, F.lit(0)))
-        label = F.when(text.rlike(r"^[0-9]+\s*\."), "B").when(R.is_section_title(text), "S").otherwise("T")
+        label = F.when(text.rlike(r"^\p{Nd}+\s*\."), "B").when(R.is_section_title(text), "S").otherwise("T")
         return F.when(R.is_numeric_only(r), "N").when(R.is_label_only(r), label).otherwise("O")
 
     def runs(k: Column) -> Column:

@@ -11,16 +11,16 @@ from gridloom.operators import quality as Q
 from gridloom.operators import rows as R
 
 # The vocabulary of front matter, contents lists and page footers.
-PAGE_NUMBER = r"^[0-9]{1,3}$"
-FOOTER = r"(?i)[0-9]+\s*\|\s*P\s+a\s+g\s+e"
+PAGE_NUMBER = r"^\p{Nd}{1,3}$"
+FOOTER = r"(?i)\p{Nd}+\s*\|\s*P\s+a\s+g\s+e"
 HONORIFIC = r"(?i)\b(Shri|Smt|Dr|Prof|Sh\.|Km\.|Shrimati|Ku\.)\b"
 JOB = r"(?i)\b(Director|Officer|Assistant|Deputy|Joint|Additional|Analyst|Statistician|Superintendent|Inspector|Registrar|Commissioner|Secretary|Manager|Advisor|Consultant|Head)\b"
 FIELD = r"(?i)(rank|score|rate|percent|ratio|count|amount|value|total|number|year|period|status|level|index)"
 INDEX_WORD = r"\b(index|contents)\b|विषय\s*सूची"
 TABLE_REF = r"(?i)\b(table\s*no|chapters?|sl\.?\s*no|s\.?\s*no|annexure\s*no)\b"
 PAGE_REF = r"(?i)\bpage\s*no\b|\bpage\b"
-PAGE_OR_RANGE = r"^[0-9]{1,4}[-–][0-9]{1,4}$|^[0-9]{1,3}$"
-SECTION = r"^[0-9]{1,3}[A-Za-z]?(\.[0-9]{1,3})*$"
+PAGE_OR_RANGE = r"^\p{Nd}{1,4}[-–]\p{Nd}{1,4}$|^\p{Nd}{1,3}$"
+SECTION = r"^\p{Nd}{1,3}[A-Za-z]?(\.\p{Nd}{1,3})*$"
 SENTENCE = r"[A-Za-z]{2,}(?:[\s,]+[A-Za-z]{2,}){5,}"
 
 

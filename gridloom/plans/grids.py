@@ -25,6 +25,15 @@ AMOUNTS = f"""{_HEAD},
  CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 6 = 1 THEN 'nan' ELSE substr(o_orderpriority, 3) END AS c4
 FROM orders"""
 
+#: Amounts with four numbers and more run together in one cell: in a fifth of the cells, a fifteenth, or none.
+RUNS = f"""SELECT doc_id, table_id, row_idx, c0, c1,
+ CASE WHEN table_id % 3 = 1 OR table_id % 3 = 2 AND row_idx % 3 = 0 THEN c2 || ' 1,200 (35) 4.5% ' || c2 ELSE c2 END AS c2, c3, c4 FROM ({AMOUNTS}) z"""
+
+#: Amounts in Devanagari and Arabic-Indic digits, alone and among ASCII ones.
+SCRIPTS = f"""SELECT doc_id, table_id, row_idx, translate(c2, '0123456789', '०१२३४५६७८९') AS c0,
+ CASE WHEN row_idx % 3 = 0 THEN '1,' || translate(lpad(c2, 3, '0'), '0123456789', '०१२३४५६७८९') WHEN row_idx % 3 = 1 THEN '(' || translate(c2, '0123456789', '٠١٢٣٤٥٦٧٨٩') || ')' ELSE c2 || '*' END AS c1,
+ translate(c2 || '.5%', '0123456789', '٠١٢٣٤٥٦٧٨٩') AS c2 FROM ({AMOUNTS}) z"""
+
 #: Rows of twelve kinds: years, months, data, serials, legends, sub-headers, numbers or labels alone, blanks.
 KINDS = f"""SELECT doc_id, table_id, row_idx,
  CASE k WHEN 0 THEN 'Year' WHEN 1 THEN 'Month' WHEN 2 THEN 'Total of all' WHEN 3 THEN CAST(n % 90 + 1 AS STRING) WHEN 4 THEN '1' WHEN 5 THEN ''

@@ -83,6 +83,20 @@ def _(spark, sf_dir):
     return g.select(*KEYS, "row_idx", C.to_number(F.col("cells")[1]).alias("num"))
 
 
+@query("f1b_to_number_of_scripts", f"WITH {D.long(D.SCRIPTS, 3)} SELECT doc_id, table_id, row_idx, col_idx, CASE WHEN v LIKE '(%' THEN -1 ELSE 1 END * CAST(replace(translate(regexp_replace(v, '[()%*]', '', 'g'), '०१२३४५६७८९٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), ',', '') AS DOUBLE) AS num, true AS number FROM cells")
+def _(spark, sf_dir):
+    """Numbers in other scripts' digits."""
+    g = D.grid(spark, sf_dir, D.SCRIPTS).select(*KEYS, "row_idx", F.posexplode("cells").alias("col_idx", "v"))
+    return g.select(*KEYS, "row_idx", "col_idx", C.to_number(F.col("v")).alias("num"), (C.is_number(F.col("v")) | F.col("v").rlike(C.CASTABLE)).alias("number"))
+
+
+@query("f3b_typed_cells_of_scripts", f"WITH {D.long(D.SCRIPTS, 3)} SELECT doc_id, table_id, avg(CASE WHEN v LIKE '(%' THEN -1 ELSE 1 END * CAST(replace(translate(regexp_replace(v, '[()%*]', '', 'g'), '०१२३४५६७८९٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), ',', '') AS DOUBLE)) AS mean, count(*) AS n FROM cells GROUP BY ALL")
+def _(spark, sf_dir):
+    """Columns of such numbers are castable, every cell of them."""
+    t = NU.typed_cells(packed(spark, sf_dir, D.SCRIPTS))
+    return t.groupBy(*KEYS).agg(F.avg("num").alias("mean"), F.count("num").alias("n"))
+
+
 @query("f2_castable_columns", f"WITH {D.long(D.AMOUNTS, 5)} {CASTABLE_SQL}")
 def _(spark, sf_dir):
     t = packed(spark, sf_dir, D.AMOUNTS)
@@ -125,14 +139,17 @@ SCORE_SQL = f"""c AS (SELECT *, trim(v) NOT IN {MISS} AS filled, trim(v) NOT IN
    0.4 * CASE WHEN nd < 0.30 AND td >= 0.60 AND fill >= 0.60 THEN td ELSE nd + label END + 0.4 * coherence + 0.2 * fill AS raw FROM a JOIN h USING (doc_id, table_id))"""
 
 
-@query("a2_score_table", f"WITH {D.long(D.AMOUNTS, 5)}, {SCORE_SQL} SELECT doc_id, table_id, round_even(raw, 3) AS score, round_even(nd, 3) AS numeric_density, round_even(coherence, 3) AS header_coherence, round_even(fill, 3) AS fill_rate, round_even(merged, 3) AS merged_frac, text_mode FROM s WHERE merged <= 0.05")
+FINAL_SQL = "CASE WHEN merged > 0.15 THEN least(round_even(raw, 3), 0.45) WHEN merged > 0.05 THEN round_even(greatest(round_even(raw, 3) - 0.15, 0), 3) ELSE round_even(raw, 3) END"
+
+
+@query("a2_score_table", f"WITH {D.long(D.RUNS, 5)}, {SCORE_SQL} SELECT doc_id, table_id, {FINAL_SQL} AS score, round_even(nd, 3) AS numeric_density, round_even(coherence, 3) AS header_coherence, round_even(fill, 3) AS fill_rate, round_even(merged, 3) AS merged_frac, text_mode FROM s")
 def _(spark, sf_dir):
-    return packed(spark, sf_dir, D.AMOUNTS).select(*KEYS, Q.score(F.col("rows")).alias("s")).select(*KEYS, "s.*").filter("merged_frac <= 0.05")
+    return packed(spark, sf_dir, D.RUNS).select(*KEYS, Q.score(F.col("rows")).alias("s")).select(*KEYS, "s.*")
 
 
-@query("a4_kept_flags", f"WITH {D.long(D.KINDS, 5)}, {SCORE_SQL} SELECT doc_id, table_id, round_even(raw, 3) < 0.70 AS low_quality, round_even(raw, 3) < 0.50 AS review_needed FROM s WHERE merged <= 0.05")
+@query("a4_kept_flags", f"WITH {D.long(D.RUNS, 5)}, {SCORE_SQL} SELECT doc_id, table_id, {FINAL_SQL} < 0.70 AS low_quality, {FINAL_SQL} < 0.50 AS review_needed FROM s")
 def _(spark, sf_dir):
-    s = packed(spark, sf_dir, D.KINDS).select(*KEYS, Q.score(F.col("rows")).alias("s")).filter("s.merged_frac <= 0.05")
+    s = packed(spark, sf_dir, D.RUNS).select(*KEYS, Q.score(F.col("rows")).alias("s"))
     return s.select(*KEYS, Q.kept_flags(F.col("s.score")).alias("f")).select(*KEYS, "f.*")
 
 
@@ -161,9 +178,9 @@ CODES = "SELECT 0 AS doc_id, CAST(floor(p_partkey / 20) AS BIGINT) AS table_id,
    count(*) FILTER (regexp_matches(v, '^\\(?-?[0-9]{{1,3}}(,[0-9]{{3}})+(\\.[0-9]+)?\\)?%?$|^\\(?-?[0-9]+\\.[0-9]{{1,2}}\\)?%?$|^-?[0-9]{{1,2}}(\\.[0-9]+)?%$') AND NOT regexp_matches(v, '^[0-9]{{3,4}}\\.[0-9]{{2,4}}$')) AS mea,
    count(DISTINCT row_idx)::DOUBLE AS nrow, count(DISTINCT CASE WHEN regexp_matches(v, '^[0-9]{{3,4}}\\.[0-9]{{2,4}}$') THEN row_idx END) AS cod FROM b WHERE lower(trim(v)) NOT IN ('', 'nan', 'none', '-', '–', '—') GROUP BY ALL)
  SELECT doc_id, table_id, CASE WHEN n >= 4 AND nrow >= 3 AND cod / nrow >= 0.4 AND txt / n >= 0.25 AND mea / n < 0.15 THEN 'reference' ELSE 'statistical' END AS archetype,
-   CASE WHEN n < 4 OR nrow < 3 THEN 0 ELSE round_even(cod / nrow, 3) END AS code_row_frac, CASE WHEN n < 4 OR nrow < 3 THEN 0 ELSE round_even(txt / n, 3) END AS text_cell_frac, CASE WHEN n < 4 OR nrow < 3 THEN 0 ELSE round_even(mea / n, 3) END AS measure_cell_frac FROM c WHERE table_id > 0""")
+   CASE WHEN n < 4 OR nrow < 3 THEN 0 ELSE round_even(cod / nrow, 3) END AS code_row_frac, CASE WHEN n < 4 OR nrow < 3 THEN 0 ELSE round_even(txt / n, 3) END AS text_cell_frac, CASE WHEN n < 4 OR nrow < 3 THEN 0 ELSE round_even(mea / n, 3) END AS measure_cell_frac FROM c""")
 def _(spark, sf_dir):
-    return packed(spark, sf_dir, CODES).filter("table_id > 0").select(*KEYS, Q.archetype(F.col("rows")).alias("a")).select(*KEYS, "a.*")
+    return packed(spark, sf_dir, CODES).select(*KEYS, Q.archetype(F.col("rows")).alias("a")).select(*KEYS, "a.*")
 
 
 per_table("h2_reference_header_rows", CODES, lambda r: [Q.reference_header_rows(r).alias("h")],
@@ -386,15 +403,8 @@ per_table("h1_header_rows", BANDS, lambda r: [H.header_rows(r).alias("h")],
  SELECT doc_id, table_id, CAST(coalesce(max(row_idx) FILTER (mon >= 3) + 1, min(row_idx) FILTER (yr >= 2) + 1, CASE WHEN count(*) FILTER (num >= 2 AND num / n >= 0.5) > 0 THEN greatest(min(row_idx) FILTER (num >= 2 AND num / n >= 0.5), 1) END, CASE WHEN count(*) FILTER (num >= 1 AND num / n >= 0.3) > 0 THEN greatest(min(row_idx) FILTER (num >= 1 AND num / n >= 0.3), 1) END, 2) AS INT) AS h FROM r GROUP BY ALL""")
 
 
-@query("h3_apply_headers", f"WITH g AS ({BANDS}) SELECT DISTINCT table_id, CASE table_id % 4 WHEN 0 THEN 'state|2011|2012_13|rank' WHEN 1 THEN 'state|jan|feb|mar' WHEN 2 THEN 'state|gross_output_rural|gross_output_urban|rank' END AS names, CASE WHEN table_id % 4 = 2 THEN 2 ELSE 3 END AS n FROM g WHERE table_id % 4 < 3")
+@query("h3_apply_headers", f"WITH g AS ({BANDS}) SELECT DISTINCT table_id, CASE table_id % 4 WHEN 0 THEN 'state|2011|2012_13|rank' WHEN 1 THEN 'state|jan|feb|mar' WHEN 2 THEN 'state|gross_output_rural|gross_output_urban|rank' ELSE 'state|company|place|rank' END AS names, CASE WHEN table_id % 4 >= 2 THEN 2 ELSE 3 END AS n FROM g")
 def _(spark, sf_dir):
-    t = packed(spark, sf_dir, BANDS).filter("table_id % 4 < 3").withColumn("h", H.header_rows(F.col("rows")))
-    return H.apply_headers(t).select("table_id", F.array_join("names", "|").alias("names"), F.size("rows").alias("n"))
-
-
-@query("h3b_apply_headers_all")
-def _(spark, sf_dir):
-    """Every table of BANDS, those without years, months or numbers included."""
     t = packed(spark, sf_dir, BANDS).withColumn("h", H.header_rows(F.col("rows")))
     return H.apply_headers(t).select("table_id", F.array_join("names", "|").alias("names"), F.size("rows").alias("n"))
 
@@ -431,19 +441,18 @@ def _(spark, sf_dir):
     return D.query(spark, sf_dir, RAW_NAMES).select("c_custkey", X.clean_column_name(F.col("name"), ("pumps",)).alias("clean"))
 
 
-@query("h11_clean_headers", f"WITH g AS ({D.ROLES}) SELECT DISTINCT doc_id, table_id, 'code|s_no|month|state|year|percentage|date|label|value' AS names FROM g WHERE table_id > 0")
+@query("h11_clean_headers", f"WITH g AS ({D.ROLES}) SELECT DISTINCT doc_id, table_id, 'code|s_no|month|state|year|percentage|date|label|value' AS names FROM g")
 def _(spark, sf_dir):
-    t = packed(spark, sf_dir, D.ROLES).filter("table_id > 0").withColumn("names", F.array(*(F.lit(f"col_{k}") for k in range(9))))
-    t = t.filter(F.size("rows") == 30)
+    t = packed(spark, sf_dir, D.ROLES).withColumn("names", F.array(*(F.lit(f"col_{k}") for k in range(9))))
     return H.clean_headers(t).select(*KEYS, F.array_join("names", "|").alias("names"))
 
 
-SQL["h11_clean_headers"] = f"WITH g AS ({D.ROLES}) SELECT doc_id, table_id, 'code|s_no|month|state|year|percentage|date|label|value' AS names FROM g WHERE table_id > 0 GROUP BY doc_id, table_id HAVING count(*) = 30"
+SQL["h11_clean_headers"] = f"WITH g AS ({D.ROLES}) SELECT doc_id, table_id, 'code|s_no|month|state|year|percentage|date|label|value' AS names FROM g GROUP BY doc_id, table_id"
 
 
-@query("h13_infer_role", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL HAVING count(*) = 30) SELECT doc_id, table_id, c AS col_idx, ['code', 's_no', 'month', 'state', 'year', 'percentage', 'date', 'name', NULL][c + 1] AS role FROM t CROSS JOIN (SELECT CAST(unnest(range(9)) AS INT) AS c)")
+@query("h13_infer_role", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL) SELECT doc_id, table_id, c AS col_idx, ['code', 's_no', 'month', 'state', 'year', 'percentage', 'date', 'name', NULL][c + 1] AS role FROM t CROSS JOIN (SELECT CAST(unnest(range(9)) AS INT) AS c)")
 def _(spark, sf_dir):
-    t = packed(spark, sf_dir, D.ROLES).filter(F.size("rows") == 30)
+    t = packed(spark, sf_dir, D.ROLES)
     return t.select(*KEYS, F.posexplode(M.by_column(F.col("rows"), lambda v, i: N.role(v))).alias("col_idx", "role"))
 
 
@@ -456,10 +465,10 @@ def _(spark, sf_dir):
     return D.query(spark, sf_dir, DUPES).select("c_custkey", F.array_join(N.dedupe_names(names), "|").alias("names"))
 
 
-@query("h15_reference_names", f"WITH g AS ({D.ROLES}) SELECT doc_id, table_id, 'code|s_no|month|state|year|percentage|date|name|size' AS names FROM g GROUP BY doc_id, table_id HAVING count(*) = 30")
+@query("h15_reference_names", f"WITH g AS ({D.ROLES}) SELECT doc_id, table_id, 'code|s_no|month|state|year|percentage|date|name|size' AS names FROM g GROUP BY doc_id, table_id")
 def _(spark, sf_dir):
     names = F.array(*(F.lit(f"col_{k}") for k in range(8)), F.lit("size"))
-    t = packed(spark, sf_dir, D.ROLES).filter(F.size("rows") == 30)
+    t = packed(spark, sf_dir, D.ROLES)
     return t.select(*KEYS, F.array_join(N.reference_names(F.col("rows"), names), "|").alias("names"))
 
 
@@ -726,14 +735,8 @@ def _(spark, sf_dir):
 TOKENS = "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'ftyk' WHEN 1 THEN p_type WHEN 2 THEN 'Non-Tax' WHEN 3 THEN 'banks' WHEN 4 THEN 'ys[ks' WHEN 5 THEN 'MinistriesDepartments' WHEN 6 THEN 'bUnkSj' ELSE 'xy' END AS t FROM part"
 
 
-@query("f4_looks_soup", "SELECT p_partkey, p_partkey % 8 IN (0, 4, 6) AS soup FROM part WHERE p_partkey % 8 <> 1")
-def _(spark, sf_dir):
-    return D.query(spark, sf_dir, TOKENS).filter("p_partkey % 8 <> 1").select("p_partkey", X.looks_soup(F.col("t")).alias("soup"))
-
-
-@query("f4b_looks_soup_all")
+@query("f4_looks_soup", r"""SELECT p_partkey, CASE WHEN p_partkey % 8 = 1 THEN length(b) >= 3 AND NOT regexp_full_match(b, '[A-Z][a-z]+|[A-Z]+') ELSE p_partkey % 8 IN (0, 4, 6) END AS soup FROM (SELECT p_partkey, regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS b FROM part)""")
 def _(spark, sf_dir):
-    """Every token, the table's own types included."""
     return D.query(spark, sf_dir, TOKENS).select("p_partkey", X.looks_soup(F.col("t")).alias("soup"))
 
 
@@ -798,9 +801,9 @@ def _(spark, sf_dir):
     return B.stress_summary(v, v.filter("reason = 'ok' and page % 2 = 0"))
 
 
-@query("h14_confident_role", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL HAVING count(*) = 30) SELECT doc_id, table_id, c AS col_idx, ['code', 's_no', 'month', 'state', 'year', 'percentage', 'date', '-', '-'][c + 1] AS role FROM t CROSS JOIN (SELECT CAST(unnest(range(9)) AS INT) AS c)")
+@query("h14_confident_role", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL) SELECT doc_id, table_id, c AS col_idx, ['code', 's_no', 'month', 'state', 'year', 'percentage', 'date', '-', '-'][c + 1] AS role FROM t CROSS JOIN (SELECT CAST(unnest(range(9)) AS INT) AS c)")
 def _(spark, sf_dir):
-    t = packed(spark, sf_dir, D.ROLES).filter(F.size("rows") == 30)
+    t = packed(spark, sf_dir, D.ROLES)
     return t.select(*KEYS, F.posexplode(M.by_column(F.col("rows"), lambda v, i: F.coalesce(N.confident_role(v), F.lit("-")))).alias("col_idx", "role"))
 
 
@@ -817,9 +820,9 @@ def _(spark, sf_dir):
     return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", F.array_join(H.reference_band_names(rows, F.when(F.col("n_nationkey") % 2 == 0, 2).otherwise(0)), "|").alias("names"))
 
 
-@query("w8_serial_run", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL HAVING count(*) = 30) SELECT doc_id, table_id, c AS col_idx, c = 1 AS serial FROM t CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS c)")
+@query("w8_serial_run", f"WITH g AS ({D.ROLES}), t AS (SELECT doc_id, table_id FROM g GROUP BY ALL) SELECT doc_id, table_id, c AS col_idx, c = 1 AS serial FROM t CROSS JOIN (SELECT CAST(unnest(range(9)) AS INT) AS c)")
 def _(spark, sf_dir):
-    t = packed(spark, sf_dir, D.ROLES).filter(F.size("rows") == 30).withColumn("rows", F.transform("rows", lambda r: F.slice(r, 1, 4)))
+    t = packed(spark, sf_dir, D.ROLES)
     return t.select(*KEYS, F.posexplode(M.by_column(F.col("rows"), lambda v, i: F.coalesce(N.is_serial_run(R.non_empty(v)), F.lit(False)))).alias("col_idx", "serial"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom import model as M
+from gridloom.functions import cells as C
 from gridloom.operators import bookkeeping as B
 
 
@@ -25,9 +26,10 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     catalog.write.mode("overwrite").option("header", True).csv(path)
 
 
-def _cell(ref: str, v: str) -> str:
-    number = v.lstrip("-").replace(".", "", 1).isdigit() and not v.endswith(".")
-    return f'<c r="{ref}"><v>{v}</v></c>' if number else f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+def _cell(ref: str, v) -> str:
+    """A text, or a pair of a text and what it is as a number (none: it stays a text)."""
+    text, number = v if isinstance(v, tuple) else (v, None)
+    return f'<c r="{ref}"><v>{number}</v></c>' if number else f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
 def _letters(n: int) -> str:
@@ -39,10 +41,10 @@ def _letters(n: int) -> str:
 
 
 def _sheet(rows: list[list[str]], frozen: int = 0, links: list[tuple[str, str]] = ()) -> str:
-    widths = [min(45, 2 + max((len(r[k]) for r in rows[:50] if k < len(r)), default=0)) for k in range(max(map(len, rows), default=0))]
+    widths = [min(45, 2 + max((len(r[k][0] if isinstance(r[k], tuple) else r[k]) for r in rows[:50] if k < len(r)), default=0)) for k in range(max(map(len, rows), default=0))]
     cols = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
     view = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{frozen}" topLeftCell="A{frozen + 1}" state="frozen"/></sheetView></sheetViews>' if frozen else ""
-    data = "".join(f'<row r="{i}">' + "".join(_cell(f"{_letters(j)}{i}", v) for j, v in enumerate(r, 1) if v) + "</row>" for i, r in enumerate(rows, 1))
+    data = "".join(f'<row r="{i}">' + "".join(_cell(f"{_letters(j)}{i}", v) for j, v in enumerate(r, 1) if v and v != ("", None)) + "</row>" for i, r in enumerate(rows, 1))
     jump = "<hyperlinks>" + "".join(f'<hyperlink ref="{a}" location="\'{escape(s)}\'!A1"/>' for a, s in links) + "</hyperlinks>" if links else ""
     return f'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{view}{"<cols>" + cols + "</cols>" if cols else ""}<sheetData>{data}</sheetData>{jump}</worksheet>'
 
@@ -53,12 +55,14 @@ def workbook(tables: DataFrame, doc_id: int) -> bytes:
     One document's tables, which a workbook must hold in memory anyway, come to the driver.
     """
     named = B.sheet_names(tables.filter((F.col("doc_id") == doc_id) & (F.size("rows") > 0)))
-    found = named.select("table_id", "name", "pages", "names", "rows", "sheet").orderBy("table_id").collect()
+    as_number = lambda v: M.bind(F.struct(v.alias("v"), B.written_number(v).alias("w")), lambda s: F.struct(F.coalesce(s["v"], F.lit("")).alias("text"), F.when(s["w"]["kind"] != "text", C.ascii_digits(s["v"])).alias("number")))
+    cells = F.transform("rows", lambda r: F.transform(r, as_number)).alias("rows")
+    found = named.select("table_id", "name", "pages", "names", cells, "sheet").orderBy("table_id").collect()
     contents = [["#", "Table Name", "PDF Page", "Rows", "Cols", "Sheet"]] + [[str(k), t.name or "", str(t.pages[0]), str(len(t.rows)), str(len(t.names)), t.sheet] for k, t in enumerate(found, 1)]
     if not found:
         contents = [["No tables extracted."]]
     sheets = [("Contents", _sheet(contents, links=[(f"F{k}", t.sheet) for k, t in enumerate(found, 2)]))]
-    sheets += [(t.sheet, _sheet([[t.name or ""], [], list(t.names), *([v or "" for v in r] for r in t.rows)], 3)) for t in found]
+    sheets += [(t.sheet, _sheet([[t.name or ""], [], list(t.names), *([tuple(v) for v in r] for r in t.rows)], 3)) for t in found]
     out = io.BytesIO()
     ns = "http://schemas.openxmlformats.org"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
