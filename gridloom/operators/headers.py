@@ -20,6 +20,11 @@ RANGE = r"^(\p{Nd}{1,3}\s*[-–]\s*\p{Nd}{1,3}|\p{Nd}{1,3}\s*\+)$"
 YEAR_SPAN = r"\b(19|20)\p{Nd}{2}\s*([-–/]\s*\p{Nd}{2,4})?\b"
 MONTH_TOKEN = r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|nov(ember)?|dec(ember)?)[.'’\- ]*\p{Nd}{0,4}$"
 MONTHISH = r"^(col(_[0-9]+)?|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(_(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|[0-9]{2,4}))*)$"
+SURVEY_WAVE = r"nfhs[\s\-–]*([0-9])"
+SURVEY_LABELS = ("urban", "rural", "total")
+SURVEY_COLUMNS = ("indicator", "nfhs6_urban", "nfhs6_rural", "nfhs6_total", "nfhs5_total")
+SURVEY_VALUE = r"^\(?-?[\p{Nd}*,]+(\.\p{Nd}+)?%?\)?$"
+SURVEY_ARTIFACT = r"^(col_?[0-9]*|urban_rural)$"
 HEADER_WORDS = tuple(
     "rural urban male female person persons age ages group groups years year status industry sector work worker workers activity education level general current weekly usual "
     "principal subsidiary labour force participation rate rates unemployment employment employed distribution percentage monthly earnings wages wage self casual regular salaried "
@@ -176,6 +181,53 @@ def lead_names(tables: DataFrame) -> DataFrame:
     return S.take_columns(t, keep).drop("_d")
 
 
+def survey_names(rows: Column, h: Column) -> Column:
+    """Names of a survey fact sheet's columns from its wave row and its urban / rural / total row; null for other tables.
+
+    Five columns of numbered indicators with values go on from the page before and have the usual names.
+    """
+    both = lambda v: v.contains("urban") & v.contains("rural")
+    wave = lambda v: F.regexp_extract(v, SURVEY_WAVE, 1)
+
+    def of_rows(p: Column) -> Column:
+        said = lambda until: F.filter(F.slice(p["waves"], F.lit(1), until), lambda w: w != "")
+        group = lambda i: M.bind(said(i + 1), lambda w: F.concat(F.lit("nfhs"), F.when(F.size(w) > 0, F.element_at(w, -1)).otherwise(F.get(said(F.size(p["waves"])), F.lit(0)))))
+        cell = lambda i: F.coalesce(F.get(p["labels"], i), F.lit(""))
+        ahead = both(cell(F.lit(1)))  # one cell over the first two value columns
+
+        def raw(i: Column) -> Column:
+            label = F.when(ahead & (i == 1), "urban").when(ahead & (i == 2), "rural").when(both(cell(i)), "rural")
+            for word in SURVEY_LABELS:
+                label = label.when(cell(i).contains(word), word)
+            return F.when(i == 0, "indicator").otherwise(F.coalesce(F.concat(group(i), F.lit("_"), label), F.concat(F.lit("col_"), i.cast("string"))))
+
+        def unique(names: Column) -> Column:
+            late = lambda i: (i >= 1) & both(cell(i + 1)) & ~(ahead & (i == 1))  # noqa: E731  one cell over this column and the next
+            again = lambda n, i: M.count(F.slice(names, F.lit(1), i), lambda x: x == n)
+            return F.transform(names, lambda n, i: F.when(n.rlike("^col_[0-9]+$") & late(i), F.concat(group(i), F.lit("_urban"))).when(again(n, i) > 0, F.concat(n, F.lit("_"), again(n, i).cast("string"))).otherwise(n))
+
+        return M.bind(F.transform(M.indices(M.width(rows)), raw), unique)
+
+    def of_band(band: Column) -> Column:
+        waves = F.get(F.filter(band, lambda r: F.exists(r, lambda v: v.rlike(SURVEY_WAVE))), F.lit(0))
+        apart, merged = F.filter(band, lambda r: F.array_contains(r, "urban") & F.array_contains(r, "rural")), F.filter(band, lambda r: F.exists(r, both))
+        labels = F.when(F.size(apart) > 0, F.element_at(apart, -1)).otherwise(F.get(merged, F.lit(0)))
+        return M.bind(F.struct(F.transform(waves, wave).alias("waves"), labels.alias("labels")), lambda p: F.when(p["waves"].isNotNull() & p["labels"].isNotNull(), of_rows(p)))
+
+    data = M.tail(rows, h)
+    values = R.non_empty(F.flatten(F.transform(data, lambda r: F.slice(r, 2, 4))))
+    numbered = M.count(data, lambda r: C.strip(F.get(r, F.lit(0))).rlike(r"^\p{Nd}{1,3}\.")) >= 2
+    goes_on = (M.width(rows) == 5) & numbered & (M.share(values, lambda v: v.rlike(SURVEY_VALUE)) >= 0.5)
+    lowered = F.transform(F.slice(rows, F.lit(1), h), lambda r: F.transform(r, lambda v: F.lower(C.strip(v))))
+    return F.coalesce(M.bind(lowered, of_band), F.when(goes_on, F.array(*map(F.lit, SURVEY_COLUMNS))))
+
+
+def survey_columns(rows: Column, names: Column) -> Column:
+    """Which columns of a survey's data stay: the first five, and later ones that are named and filled by more than a fifth."""
+    filled = lambda i: M.share(M.column(rows, i), C.populated) > 0.2
+    return F.filter(M.indices(F.size(names)), lambda i: (i < 5) | (filled(i) & ~F.get(names, i).rlike(SURVEY_ARTIFACT)))
+
+
 def apply_headers(tables: DataFrame, keep_trailing_banner: bool = False) -> DataFrame:
     """``rows`` with a header band to data ``rows`` and ``names``; needs ``h`` (``header_rows``).
 
@@ -183,18 +235,21 @@ def apply_headers(tables: DataFrame, keep_trailing_banner: bool = False) -> Data
     """
     t = tables.withColumn("_ref", Q.archetype(F.col("rows"))["archetype"] == "reference")
     h = F.least(F.col("h"), F.greatest(F.size("rows") - 1, F.lit(0)))
+    t = t.withColumn("_survey", F.when(~F.col("_ref"), survey_names(F.col("rows"), h)))
+    t = t.withColumn("_ref", F.col("_ref") | F.col("_survey").isNotNull())  # nothing below touches these
     t = t.withColumn("_h", F.when(F.col("_ref"), h).otherwise(start_of_data(F.col("rows"), h)))
     if keep_trailing_banner:
         lone = F.array_join(F.transform(F.slice("rows", F.lit(1), F.col("_h")), lambda r: F.when((F.size(R.non_empty(r)) == 1) & C.populated(F.get(r, F.lit(0))), "1").otherwise("0")), "")
         t = t.withColumn("_h", F.when(~F.col("_ref"), F.greatest(F.length(F.regexp_replace(lone, "1+$", "")), F.least(F.col("_h"), F.lit(1)))).otherwise(F.col("_h")))
-    t = t.withColumn("names", F.when(F.col("_ref"), reference_band_names(F.col("rows"), F.col("_h"))).otherwise(band_names(F.col("rows"), F.col("_h"))))
+    t = t.withColumn("names", F.when(F.col("_survey").isNotNull(), F.col("_survey")).when(F.col("_ref"), reference_band_names(F.col("rows"), F.col("_h"))).otherwise(band_names(F.col("rows"), F.col("_h"))))
     t = t.withColumn("_band", F.slice("rows", F.lit(1), F.col("_h"))).withColumn("rows", M.tail(F.col("rows"), F.col("_h")))
     t = t.withColumn("_rows", F.col("rows")).withColumn("_names", F.col("names"))
     t = S.drop_ghosts(absorb_sub_headers(t))
     t = lead_names(t.withColumn("names", spread_months(F.col("names"), F.col("_band"))))
     t = t.withColumn("rows", F.when(F.col("_ref"), F.col("_rows")).otherwise(F.col("rows")))
     t = t.withColumn("names", F.when(F.col("_ref"), F.col("_names")).otherwise(F.col("names")))
-    return t.drop("_ref", "_h", "_band", "_rows", "_names")
+    keep = F.when(F.col("_survey").isNotNull(), survey_columns(F.col("rows"), F.col("names"))).otherwise(M.indices(F.size("names")))
+    return S.take_columns(t, keep).drop("_ref", "_survey", "_h", "_band", "_rows", "_names")
 
 
 def clean_headers(tables: DataFrame, drop_second: bool = True) -> DataFrame:

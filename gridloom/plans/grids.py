@@ -65,6 +65,17 @@ PANELS = """SELECT 0 AS doc_id, CAST(floor(c_custkey / 40) AS BIGINT) AS table_i
  CASE WHEN floor(c_custkey / 40) % 2 = 1 OR c_custkey % 2 = 1 THEN '1.5' ELSE '' END AS c4
 FROM customer"""
 
+#: Survey fact sheets: labels apart (0, 4), one cell over the first two (1) or the second and third (2) value columns, pages that go on (3); two more columns in 4.
+SURVEYS = """SELECT 0 AS doc_id, CAST(s_suppkey AS BIGINT) AS table_id, CAST(i AS INT) AS row_idx,
+ CASE WHEN k = 3 OR i > 2 THEN CAST(i AS STRING) || '. Share of ' || s_name WHEN i = 1 THEN 'Indicators' WHEN i = 2 THEN 'Population' ELSE '' END AS c0,
+ CASE WHEN k = 3 OR i > 2 THEN CAST((s_suppkey * 7 + i) % 90 AS STRING) || '.5' WHEN i = 2 AND k IN (0, 4) THEN 'Urban' WHEN i = 2 AND k = 1 THEN 'Urban Rural' ELSE '' END AS c1,
+ CASE WHEN k = 3 OR i > 2 THEN '(' || CAST(i AS STRING) || ')' WHEN i = 0 THEN 'NFHS-' || CAST(4 + s_suppkey % 3 AS STRING) WHEN i = 1 THEN '(2023-24)' WHEN k IN (0, 4) THEN 'Rural' WHEN k = 2 THEN 'Urban  Rural' ELSE '' END AS c2,
+ CASE WHEN k = 3 OR i > 2 THEN '*' WHEN i = 2 THEN 'Total' ELSE '' END AS c3,
+ CASE WHEN k = 3 OR i > 2 THEN '4,870' WHEN i = 0 THEN 'nfhs ' || CAST(3 + s_suppkey % 2 AS STRING) WHEN i = 1 THEN '(2019-21)' ELSE 'Total' END AS c4,
+ CASE WHEN k <> 4 THEN NULL WHEN i = 2 THEN 'Total' WHEN i > 2 AND i % 2 = 0 THEN '9' ELSE '' END AS c5,
+ CASE WHEN k <> 4 THEN NULL WHEN i > 2 THEN '1' ELSE '' END AS c6
+FROM (SELECT s_suppkey, s_name, s_suppkey % 5 AS k, i FROM supplier CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) q) z"""
+
 #: Tables stacked under titles.
 STACKS = """SELECT 0 AS doc_id, CAST(floor(s_suppkey / 20) AS BIGINT) AS table_id, CAST(row_number() OVER (PARTITION BY floor(s_suppkey / 20) ORDER BY s_suppkey) - 1 AS INT) AS row_idx,
  CASE WHEN s_suppkey % 7 = 0 THEN 'Table 1.' || CAST(s_suppkey AS STRING) ELSE s_name END AS c0,

@@ -433,6 +433,25 @@ def _(spark, sf_dir):
     return D.query(spark, sf_dir, MONTH_HEADS).select("n_nationkey", F.array_join(H.spread_months(names, band), "|").alias("names"))
 
 
+@query("h7_survey_headers", rf"""WITH {D.long(D.SURVEYS, 7)}, own AS (SELECT * FROM cells WHERE v IS NOT NULL),
+ k AS (SELECT table_id, max(col_idx) + 1 AS width, bool_or(regexp_matches(lower(v), 'nfhs') AND row_idx = 0) AS headed FROM own GROUP BY ALL),
+ w AS (SELECT table_id, col_idx, nullif(regexp_extract(lower(v), 'nfhs[\s-]*([0-9])', 1), '') AS wave FROM own WHERE row_idx = 0),
+ gr AS (SELECT table_id, col_idx, 'nfhs' || coalesce(last_value(wave IGNORE NULLS) OVER (PARTITION BY table_id ORDER BY col_idx), first_value(wave IGNORE NULLS) OVER (PARTITION BY table_id ORDER BY col_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS grp FROM w),
+ l AS (SELECT table_id, col_idx, lower(v) AS c, lag(lower(v)) OVER x AS before, lead(lower(v)) OVER x AS after FROM own WHERE row_idx = 2 WINDOW x AS (PARTITION BY table_id ORDER BY col_idx)),
+ n AS (SELECT table_id, col_idx, CASE WHEN NOT headed THEN ['indicator', 'nfhs6_urban', 'nfhs6_rural', 'nfhs6_total', 'nfhs5_total'][col_idx + 1] WHEN col_idx = 0 THEN 'indicator'
+    WHEN c LIKE 'urban%rural' THEN grp || CASE WHEN col_idx = 1 THEN '_urban' ELSE '_rural' END WHEN c = '' AND before LIKE 'urban%rural' AND col_idx = 2 THEN grp || '_rural' WHEN c = '' AND after LIKE 'urban%rural' AND col_idx > 0 THEN grp || '_urban'
+    WHEN c = '' THEN 'col_' || col_idx ELSE grp || '_' || c END AS name FROM k JOIN l USING (table_id) LEFT JOIN gr USING (table_id, col_idx)),
+ u AS (SELECT *, row_number() OVER (PARTITION BY table_id, name ORDER BY col_idx) - 1 AS again FROM n),
+ f AS (SELECT table_id, col_idx, avg((v <> '')::INT) AS filled FROM own WHERE row_idx > 2 GROUP BY ALL)
+ SELECT table_id, string_agg(name || CASE WHEN again > 0 THEN '_' || again ELSE '' END, '|' ORDER BY col_idx) AS names, any_value(CASE WHEN headed THEN 4 ELSE 5 END) AS n FROM u JOIN f USING (table_id, col_idx) JOIN k USING (table_id)
+ WHERE col_idx < 5 OR (filled > 0.2 AND NOT name LIKE 'col_%') GROUP BY table_id""")
+def _(spark, sf_dir):
+    t = packed(spark, sf_dir, D.SURVEYS)
+    t = t.withColumn("rows", F.transform("rows", lambda r: F.filter(r, lambda v: v.isNotNull())))
+    t = t.withColumn("h", F.when(F.col("table_id") % 5 == 3, 2).otherwise(3))
+    return H.apply_headers(t).select("table_id", F.array_join("names", "|").alias("names"), F.size("rows").alias("n"))
+
+
 RAW_NAMES = "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'S. No.' WHEN 1 THEN '2020-21' WHEN 2 THEN 'Number of xq Pumps ' || c_mktsegment WHEN 3 THEN 'nfhs6_urban' WHEN 4 THEN 'zz kk' ELSE 'Area 2019-20 Sown' END AS name FROM customer"
 
 

@@ -158,3 +158,46 @@ def test_packing_is_the_only_shuffle(spark):
     grid = spark.createDataFrame([(1, 1, 0, ["a", "b"])], "doc_id long, table_id long, row_idx int, cells array<string>")
     t = M.pack(grid).withColumn("rows", S.merge_continued(R.clean_rows(F.col("rows"))))
     assert t.select(Q.score(F.col("rows")))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_survey_bands(spark):
+    """Names of random survey bands, worked out cell by cell."""
+    import random
+    import re
+
+    from gridloom.operators import headers as H
+
+    rng, made = random.Random(5), []
+    for k in range(250):
+        width = rng.randrange(3, 8)
+        waves = ["", *(rng.choice(["", "", "NFHS-6", "nfhs 5", "Other"]) for _ in range(width - 1))]
+        labels = ["Indicators", *(rng.choice(["", "Urban", "Rural", "Total", "Urban Rural", "Total (%)"]) for _ in range(width - 1))]
+        made.append((k, [waves, labels, [f"{k}. x", *("7" for _ in range(width - 1))]]))
+
+    def names(waves, labels):
+        labels = [v.lower() for v in labels]
+        apart, merged = "urban" in labels and "rural" in labels, ["urban" in v and "rural" in v for v in labels]
+        found = [re.search("nfhs[ -]*([0-9])", w.lower()) for w in waves]
+        if not any(found) or not (apart or any(merged)):
+            return None
+        first = next(m[1] for m in found if m)
+        group = ["nfhs" + next((m[1] for m in reversed(found[: c + 1]) if m), first) for c in range(len(waves))]
+        out, seen = ["indicator"], {"indicator": 0}
+        for c in range(1, len(waves)):
+            if c == 2 and merged[1]:
+                own = "rural"
+            elif merged[c]:
+                own = "urban" if c == 1 else "rural"
+                if c > 1 and re.fullmatch("col_[0-9]+", out[-1]):
+                    out[-1] = f"{group[c - 1]}_urban"
+            else:
+                own = next((w for w in ("urban", "rural", "total") if w in labels[c]), None)
+            name = f"{group[c]}_{own}" if own else f"col_{c}"
+            seen[name] = seen.get(name, -1) + 1
+            out.append(f"{name}_{seen[name]}" if seen[name] else name)
+        return out
+
+    df = spark.createDataFrame(made, "k int, rows array<array<string>>")
+    got = {r["k"]: r["n"] for r in df.select("k", H.survey_names(F.col("rows"), F.lit(2)).alias("n")).collect()}
+    want = {k: names(rows[0], rows[1]) for k, rows in made}
+    assert got == want and sum(v is not None for v in want.values()) > 100
