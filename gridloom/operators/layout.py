@@ -88,10 +88,11 @@ def repair_headers(tables: DataFrame, words: DataFrame) -> DataFrame:
     return t.withColumn("rows", F.transform("rows", repaired)).drop("_w")
 
 
-def recover_headers(tables: DataFrame, words: DataFrame, pad: float = 16.0) -> DataFrame:
+def recover_headers(tables: DataFrame, words: DataFrame, pad: float = 16.0, missing: Column | None = None) -> DataFrame:
     """A missing header is read from the band above the table and put first (P9): ``tables(..., rows, top, columns)``.
 
     Lines that are titles, or units in at most three words, don't count; half of the columns must get a text, three at least.
+    ``missing`` tells whether a header is missing where the rows have changed since.
     """
     t = _with_words(tables, words).withColumn("_w", F.filter("_w", lambda w: (w["top"] >= F.col("top") - HEADER_BAND) & (w["top"] <= F.col("top") + pad)))
     line = lambda w: F.round(w["top"] / 3)
@@ -103,5 +104,6 @@ def recover_headers(tables: DataFrame, words: DataFrame, pad: float = 16.0) -> D
 
     t = t.withColumn("_b", bucketed(F.filter("_w", lambda w: ~dropped(w)), F.col("columns")))
     filled = M.count(F.col("_b"), lambda v: v != "")
-    fires = R.header_missing(F.col("rows")) & (filled >= F.greatest(F.lit(3.0), 0.5 * F.size("_b"))) & (F.size("_b") == M.width(F.col("rows")))
+    missing = R.header_missing(F.col("rows")) if missing is None else missing
+    fires = missing & (filled >= F.greatest(F.lit(3.0), 0.5 * F.size("_b"))) & (F.size("_b") == M.width(F.col("rows")))
     return t.withColumn("rows", F.when(fires, F.concat(F.array(F.col("_b")), F.col("rows"))).otherwise(F.col("rows"))).drop("_w", "_b")

@@ -118,24 +118,26 @@ def panel_boundary(rows: Column, least_rows: int = 8, least_share: float = 0.22,
     """The column where a right panel begins: many rows fill one side only, both sides hold numbers; null for none."""
     full = lambda v: ~F.lower(C.strip(v)).isin("", "nan", "none")
 
-    def rate(k: Column) -> Column:
-        left, right = (lambda r: F.slice(r, 1, k)), (lambda r: F.slice(r, k + 1, F.size(r)))
-        sides = F.transform(rows, lambda r: F.struct(F.exists(left(r), full).alias("l"), F.exists(right(r), full).alias("r"), F.exists(left(r), C.is_number).alias("ln"), F.exists(right(r), C.is_number).alias("rn")))
+    def ends(r: Column) -> Column:
+        """Where a row's filled cells and its numbers begin and end; that decides every boundary."""
+        at = lambda test: F.filter(F.transform(r, lambda v, i: F.when(test(v), i)), lambda i: i.isNotNull())
+        out = lambda filled, number: F.struct(F.array_min(filled).alias("f"), F.array_max(filled).alias("l"), F.array_min(number).alias("fn"), F.array_max(number).alias("ln"))
+        return M.bind(F.struct(at(full).alias("a"), at(C.is_number).alias("b")), lambda x: out(x["a"], x["b"]))
 
-        def judged(s: Column) -> Column:
-            counts = F.struct(M.count(s, lambda x: x["l"] | x["r"]).alias("n"), M.count(s, lambda x: x["l"] & ~x["r"]).alias("lo"), M.count(s, lambda x: x["r"] & ~x["l"]).alias("ro"), M.count(s, lambda x: x["ln"]).alias("ln"), M.count(s, lambda x: x["rn"]).alias("rn"))
-            return M.bind(counts, rated)
+    def rate(rows_: Column, k: Column) -> Column:
+        has = lambda test: M.count(rows_, lambda x: F.coalesce(test(x), F.lit(False)))
+        counts = F.struct(has(lambda x: x["f"].isNotNull()).alias("n"), has(lambda x: x["l"] < k).alias("lo"), has(lambda x: x["f"] >= k).alias("ro"), has(lambda x: x["fn"] < k).alias("ln"), has(lambda x: x["ln"] >= k).alias("rn"))
 
         def rated(c: Column) -> Column:
             n, lo, ro = c["n"], c["lo"], c["ro"]
             ok = (n >= least_rows) & (lo >= least_share * n) & (ro >= least_share * n) & (lo + ro >= 0.55 * n) & (c["ln"] >= least_numbers) & (c["rn"] >= least_numbers)
             return F.when(ok, F.struct((F.least(lo, ro) / n).alias("s"), (-k).alias("k")))
 
-        return M.bind(sides, judged)
+        return M.bind(counts, rated)
 
     w = M.width(rows)
     options = F.when(w >= 4, F.sequence(F.lit(2), w - 2)).otherwise(F.array().cast("array<int>"))
-    return -F.array_max(F.transform(options, rate))["k"]
+    return -M.bind(F.transform(rows, ends), lambda e: F.array_max(F.transform(options, lambda k: rate(e, k))))["k"]
 
 
 def split_side_by_side(tables: DataFrame) -> DataFrame:

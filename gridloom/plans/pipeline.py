@@ -55,10 +55,11 @@ def validated(tables: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def run(tables: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
-    """``tables`` (stitched and named), ``cells`` (typed), ``catalog``, ``quarantine``."""
+    """``tables`` (stitched and named), ``cells`` (typed), ``catalog``, ``quarantine``; takes what ``plans.extraction`` gives, or any tables."""
     checked = validated(tables, options)
     kept = M.only(checked, lambda x: x["reason"] == "ok")
     items = kept.select("doc_id", "table_id", F.col("page").cast("int").alias("page"), "name", F.size("rows").alias("n_rows"), "names")
     whole = B.fallback_names(ST.stitch(kept, ST.stitched_items(items), options.distinct_after_stitch))
-    quarantine = M.only(checked, lambda x: x["reason"] != "ok").select("doc_id", F.col("table_id").alias("table"), "page", "reason", "best_score", F.lit("given").alias("strategies_tried"))
+    tried = F.col("strategies_tried") if "strategies_tried" in checked.columns else F.lit("given")
+    quarantine = M.only(checked, lambda x: x["reason"] != "ok").select("doc_id", F.col("table_id").alias("table"), "page", "reason", "best_score", tried.alias("strategies_tried"))
     return {"tables": whole, "cells": NU.typed_cells(whole, threshold=options.threshold), "catalog": B.catalog(whole), "quarantine": quarantine}

@@ -21,6 +21,7 @@ from gridloom.operators import rows as R
 from gridloom.operators import stitch as ST
 from gridloom.operators import structure as S
 from gridloom.operators import validate as V
+from gridloom.plans import extraction as EX
 from gridloom.plans import grids as D
 from gridloom.sources import readers as RD
 
@@ -365,6 +366,21 @@ def _(spark, sf_dir):
 ENTRIES = "SELECT n_regionkey AS doc_id, n_regionkey AS table_id, 0 AS row_idx, 'Sl' AS c0, 'City' AS c1, 'Number' AS c2 FROM nation WHERE n_nationkey < 5 UNION ALL SELECT rk, rk, 1, e, '', '' FROM (SELECT n_regionkey AS rk, string_agg(CAST(n_nationkey + 1 AS STRING) || ' City' || translate(CAST(n_nationkey AS STRING), '0123456789', 'abcdefghij') || ' ' || CAST(n_nationkey AS STRING) || '.25', ' ') AS e FROM nation GROUP BY n_regionkey) q"
 
 
+@query("s1_extracted_tables", f"""WITH g AS ({D.PANELS}), t AS (SELECT table_id, count(*) AS n, table_id % 2 = 0 AS two, count(*) FILTER (c0 <> '') AS l, count(*) FILTER (c2 <> '') AS r FROM g GROUP BY table_id),
+ p AS (SELECT table_id, 0 AS part, CASE WHEN two AND n >= 12 THEN l ELSE n END AS n FROM t UNION ALL SELECT table_id, 1, r FROM t WHERE two AND n >= 12)
+ SELECT CAST(row_number() OVER (ORDER BY table_id, part) AS BIGINT) AS table_id, CAST(table_id AS BIGINT) AS source_table, CAST(n AS INT) AS n, 'lattice' AS strategy, 'Chapter 1 Customers' AS caption FROM p""")
+def _(spark, sf_dir):
+    """Three attempts at each table: crushed, without its numbers, whole; the last one wins, and its panels come apart."""
+    t = packed(spark, sf_dir, D.PANELS).withColumn("page", F.lit(1))
+    t = t.withColumn("caption", F.when(F.col("table_id") == 0, "Chapter 1 Customers").otherwise(""))
+    bare = F.transform("rows", lambda r: F.transform(r, lambda v: F.when(C.is_number(v), "").otherwise(v)))
+    crushed = F.transform("rows", lambda r: F.array(F.concat(F.get(r, F.lit(0)), F.lit("\n1\n2\n3\n4"))))
+    attempt = lambda strategy, k, rows: F.struct(F.lit(strategy).alias("strategy"), F.lit(k).alias("attempt"), rows.alias("rows"))
+    tries = F.array(attempt("lattice", 0, crushed), attempt("stream", 1, bare), attempt("lattice", 2, F.col("rows")))
+    tables = EX.extracted(t.select("doc_id", "page", "table_id", "caption", F.inline(tries)))
+    return tables.select("table_id", "source_table", F.size("rows").alias("n"), "strategy", "caption")
+
+
 @query("r8_split_panels", "WITH e AS (SELECT n_regionkey AS table_id, n_nationkey + 1 AS sl, 'City' || translate(CAST(n_nationkey AS STRING), '0123456789', 'abcdefghij') AS city, n_nationkey || '.25' AS v FROM nation) SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY sl) - 1 AS INT) AS row_idx, sl || '|' || city || '|' || v AS cells FROM e")
 def _(spark, sf_dir):
     sql = ENTRIES.replace("string_agg(", "array_join(collect_list(").replace("|| '.25', ' ') AS e", "|| '.25'), ' ') AS e")

@@ -201,3 +201,52 @@ def test_survey_bands(spark):
     got = {r["k"]: r["n"] for r in df.select("k", H.survey_names(F.col("rows"), F.lit(2)).alias("n")).collect()}
     want = {k: names(rows[0], rows[1]) for k, rows in made}
     assert got == want and sum(v is not None for v in want.values()) > 100
+
+
+def test_panel_boundaries(spark):
+    """The boundary of random grids, worked out row by row."""
+    import random
+
+    from gridloom.operators import structure as S
+
+    rng, grids = random.Random(7), []
+    for k in range(120):
+        width, cut, n = rng.randrange(3, 9), rng.randrange(1, 7), rng.randrange(6, 24)
+        side = lambda i, r: (i < cut) == r  # noqa: E731,B023
+        grids.append((k, [[(rng.choice(["7", "1,5", "x", "nan", ""]) if rng.random() < 0.9 else "") if side(i, j % 2 == 0) or rng.random() < 0.1 else "" for i in range(width)] for j in range(n)]))
+
+    def boundary(rows):
+        full = lambda v: v not in ("", "nan")
+        number = lambda v: v in ("7", "1,5")
+        best = None
+        for k in range(2, len(rows[0]) - 1):
+            sides = [[(any(map(t, r[:k])), any(map(t, r[k:]))) for r in rows] for t in (full, number)]
+            n, lo, ro = (sum(map(f, sides[0])) for f in (any, lambda s: s[0] and not s[1], lambda s: s[1] and not s[0]))
+            ln, rn = (sum(s[i] for s in sides[1]) for i in (0, 1))
+            if n >= 8 and min(lo, ro) >= 0.22 * n and lo + ro >= 0.55 * n and ln >= 5 and rn >= 5 and (best is None or min(lo, ro) / n > best[0]):
+                best = (min(lo, ro) / n, k)
+        return best and best[1]
+
+    df = spark.createDataFrame(grids, "k int, rows array<array<string>>")
+    got = {r["k"]: r["b"] for r in df.select("k", S.panel_boundary(F.col("rows")).alias("b")).collect()}
+    want = {k: boundary(rows) for k, rows in grids}
+    assert got == want and sum(v is not None for v in want.values()) > 10
+
+
+def test_extraction_feeds_the_chain(spark):
+    """Attempts to catalog: the best reader wins, what was tried stays on record, headers come back from the page's words."""
+    from gridloom.plans import extraction as EX
+    from gridloom.plans import pipeline as PL
+
+    data = [[f"{k}", f"Area {k}", f"{k * 7}", f"{k}.5"] for k in range(1, 9)]
+    attempt = lambda doc, table, strategy, k, rows: (doc, 1, table, strategy, k, "Table 1.1 Areas by size", rows, 100.0, [100.0 + 10 * i for i in range(len(rows) + 1)], [(0.0, 20.0), (20.0, 60.0), (60.0, 80.0), (80.0, 99.0)])
+    rows = [attempt(1, 1, "lattice", 0, data), attempt(1, 1, "stream", 1, [[r[0], r[1], "", ""] for r in data]), attempt(2, 1, "lattice", 0, [["one\ntwo\nthree", "a\nb\nc"], ["d\ne\nf", "g"]]), attempt(2, 1, "stream", 1, [["x", ""], ["", "y"]])]
+    ddl = "doc_id long, page int, table_id long, strategy string, attempt int, caption string, rows array<array<string>>, top double, row_tops array<double>, columns array<struct<lo:double,hi:double>>"
+    words = [(1, 1, 1.0, 10.0, 92.0, "Rank"), (1, 1, 25.0, 50.0, 92.0, "State"), (1, 1, 62.0, 75.0, 92.0, "Output"), (1, 1, 82.0, 95.0, 92.0, "Share")]
+    t = EX.extracted(spark.createDataFrame(rows, ddl), spark.createDataFrame(words, "doc_id long, page int, x0 double, x1 double, top double, text string"))
+    got = {r["doc_id"]: r for r in t.collect()}
+    assert got[1]["strategy"] == "lattice" and got[1]["rows"][0] == ["Rank", "State", "Output", "Share"] and got[1]["strategies_tried"].count(";") == 1
+    assert got[2]["strategy"] == "stream" and got[2]["low_quality"] and got[2]["strategies_tried"].startswith("stream:")
+    out = PL.run(t)
+    assert [r["names"] for r in out["tables"].collect()] == [["s_no", "state", "output", "share"]]  # 1, 2, 3, ... are serial numbers
+    assert [(r["doc_id"], r["strategies_tried"]) for r in out["quarantine"].collect()] == [(2, got[2]["strategies_tried"])]
