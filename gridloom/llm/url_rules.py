@@ -9,7 +9,7 @@ whole token is a candidate for every URL.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and gets
 ``default``; repeated rows repeat; other columns are dropped; an empty table gives an empty result. The
-rule list is broadcast inside the function; more than ``MAX_RULE_CHARS`` characters are refused.
+rule index is a broadcast variable; more than ``MAX_RULE_CHARS`` characters of rules are refused.
 """
 
 from __future__ import annotations
@@ -87,9 +87,10 @@ def url_verdicts(pages: DataFrame, rules: Iterable[tuple[str, str, str]], defaul
     if sum(len(h) + len(p) for _, h, p in rules) > MAX_RULE_CHARS:
         raise ValueError("the rule list is too large to hand to every task")
     wanted = set().union(*(literal_tokens(h.translate(_LOWER), p) for _, h, p in rules))
-    index = RuleIndex(rules, token_counts_of(pages, url_col, wanted))
+    shared = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules, token_counts_of(pages, url_col, wanted)))
 
     def run(urls: list[str | None]) -> dict[str, list]:
+        index = shared.value
         out: dict[str, list] = {"host": [], "path": [], "rule": [], "verdict": []}
         for url in urls:
             host, path = split_url(url)

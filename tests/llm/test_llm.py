@@ -277,6 +277,29 @@ def test_word_ids_equal_whole_texts():
     assert packing.WordIds(other).encode(["a  b", None])[0] == np.array(other.encode("a  b", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def brute_spread(sizes, windows):
+    """The least difference between the fullest and the emptiest window over all ways to deal the sizes out."""
+    best = None
+    for way in range(windows ** len(sizes)):
+        sums = [0] * windows
+        for n in sizes:
+            sums[way % windows] += n
+            way //= windows
+        best = min(max(sums) - min(sums), max(sums) if best is None else best)
+    return best
+
+
+def test_differencing_against_all_ways():
+    """Karmarkar-Karp is no optimum, but for few pieces it stays near it, and keeps every piece once."""
+    rng, worse = random.Random(19), []
+    for _ in range(60):
+        windows, sizes = rng.choice([2, 3]), [rng.randrange(1, 60) for _ in range(rng.randrange(3, 9))]
+        sums = np.bincount(packing.differencing(sizes, windows), sizes, windows)
+        assert sums.sum() == sum(sizes)
+        worse.append((sums.max() - sums.min() - brute_spread(sizes, windows)) / max(sizes))
+    assert min(worse) >= 0 and np.mean(worse) < 0.12 and max(worse) < 0.7
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(9)
     sizes = [rng.randrange(1, 1500) for _ in range(400)]
@@ -376,6 +399,12 @@ def test_url_rules(spark):
     ]
 
 
+def test_urls_with_clashing_columns(spark):
+    rows = [(1, "http://a.net/es/1", "p", "r", "v", "h")] * 3 + [(1, None, "p", "r", "v", "h"), (None, "http://b.com/" + "x/" * 50_000, "p", "r", "v", "h")]
+    got = url_rules.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, path string, rule string, verdict string, host string"), queries.URL_RULES).collect()
+    assert [tuple(r) for r in got[:4]] == [(1, "a.net", "/es/1", "net/es/", "block")] * 3 + [(1, "", "", None, "allow")] and got[4]["rule"] == "com/"
+
+
 def test_rare_tokens_find_every_rule():
     rng = random.Random(11)
     hosts, paths = ["a.com", "b.a.com", "net", "x-y.org"], ["", "/", "/p", "/p/q/", "/p/zz"]
@@ -407,6 +436,18 @@ def test_sketches(spark, odd):
     assert got[1]["fingerprint"] == got[2]["fingerprint"] != got[3]["fingerprint"]
 
 
+def test_sketches_of_shared_ids(spark):
+    """All rows of one id have the same next document, and are the next of the one before by one of them."""
+    rng = random.Random(27)
+    texts = [(1, prose(rng, 60)), (7, prose(rng, 50)), (7, prose(rng, 70)), (7, prose(rng, 70)), (9, prose(rng, 40))]
+    got = sketches.fingerprints(frame(spark, texts)).collect()
+    text = dict(texts)
+    edited = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()
+    assert sorted(r["edited_sha256"] for r in got if r["doc_id"] == 7) == sorted(edited(t, text[9]) for i, t in texts if i == 7)
+    assert [r["edited_sha256"] for r in got if r["doc_id"] == 9] == [edited(text[9], text[1])]
+    assert [r["edited_sha256"] for r in got if r["doc_id"] == 1][0] in {edited(text[1], t) for i, t in texts if i == 7}
+
+
 def test_sketch_without_ids(spark):
     assert sketches.fingerprints(frame(spark, [(None, "abc. def")])).first()["n_chars"] == 8
 
