@@ -645,7 +645,15 @@ def _(spark, sf_dir):
     return G.right_edges(words(spark, sf_dir))
 
 
-@query("s7_grid_from_words")
+@query("s7_grid_from_words", f"""WITH {EDGES_SQL}, a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS i, CAST(anchor AS DOUBLE) AS anchor, count(*) OVER (PARTITION BY doc_id) AS of_page FROM k),
+ t AS (SELECT *, row_number() OVER () AS id, regexp_matches(text, '^[0-9]{{3}}$') AS is_value FROM w),
+ d AS (SELECT t.id, arg_min(a.i, abs(a.anchor - t.x1)) AS i, min(abs(a.anchor - t.x1)) AS off FROM t JOIN a USING (doc_id) WHERE of_page >= 2 GROUP BY t.id),
+ o AS (SELECT t.*, d.i, is_value AND off <= 6 AS near, row_number() OVER (PARTITION BY t.doc_id, top, d.i, is_value AND off <= 6 ORDER BY x0, x1, text) AS nth FROM t JOIN d USING (id)),
+ l AS (SELECT doc_id, page, top, row_number() OVER (PARTITION BY doc_id ORDER BY top) - 1 AS line, coalesce(string_agg(text, ' ' ORDER BY x0, x1, text) FILTER (NOT (near AND nth = 1)), '') AS label, count(*) FILTER (near) > 0 AS held FROM o GROUP BY doc_id, page, top),
+ c AS (SELECT l.doc_id, l.page, l.line, a.i, coalesce(max(o.text), '') AS v FROM l JOIN a USING (doc_id) LEFT JOIN o ON o.doc_id = l.doc_id AND o.top = l.top AND o.i = a.i AND o.near AND o.nth = 1 GROUP BY ALL),
+ x AS (SELECT doc_id, line, string_agg(v, '|' ORDER BY i) AS vals FROM c GROUP BY ALL),
+ p AS (SELECT doc_id FROM l GROUP BY doc_id HAVING count(*) FILTER (held) >= 3)
+ SELECT doc_id, page, CAST(line AS INT) AS row_idx, label || '|' || vals AS cells FROM l JOIN x USING (doc_id, line) JOIN p USING (doc_id)""")
 def _(spark, sf_dir):
     g = G.grid_from_words(words(spark, sf_dir))
     return g.select("doc_id", "page", "row_idx", F.array_join("cells", "|").alias("cells"))
@@ -722,14 +730,22 @@ def _(spark, sf_dir):
     return L.repair_headers(t, w).select("table_id", F.array_join(F.get("rows", F.lit(0)), "|").alias("head"))
 
 
-@query("s9_recovered_cells", "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(r AS INT) AS row_idx, CAST(c AS INT) AS col_idx, CASE WHEN c = 0 THEN n_name ELSE CAST(n_nationkey + r AS VARCHAR) || ' x' END AS v FROM nation CROSS JOIN (SELECT unnest([0, 1]) AS r) CROSS JOIN (SELECT unnest([0, 1]) AS c)")
+#: Words as a recogniser returns them, some unsure, some between or beside all ranges.
+READ_WORDS = """SELECT CAST(floor(l_orderkey / 32) AS BIGINT) AS doc_id, 1 AS page, CAST(60 * (l_linenumber % 6) + l_partkey % 50 AS DOUBLE) AS x0, CAST(60 * (l_linenumber % 6) + l_partkey % 50 + 10 AS DOUBLE) AS x1,
+ CAST(10 * (l_orderkey % 32) + l_suppkey % 10 AS DOUBLE) AS mid_y, CAST(l_partkey AS STRING) AS text, CAST(l_quantity * 2 AS DOUBLE) AS conf FROM lineitem"""
+READ_COLUMNS, READ_ROWS = ((0.0, 100.0), (105.0, 200.0), (215.0, 300.0)), ((0.0, 90.0), (94.0, 200.0), (215.0, 300.0))
+
+
+def _first_range(x: str, ranges: tuple) -> str:
+    return "CASE " + " ".join(f"WHEN {x} BETWEEN {lo} - 3 AND {hi} + 3 THEN {k}" for k, (lo, hi) in enumerate(ranges)) + " END"
+
+
+@query("s9_recovered_cells", f"WITH w AS ({READ_WORDS}), p AS (SELECT *, CAST({_first_range('mid_y', READ_ROWS)} AS INT) AS row_idx, CAST({_first_range('(x0 + x1) / 2', READ_COLUMNS)} AS INT) AS col_idx FROM w WHERE conf >= 40) SELECT doc_id, row_idx, col_idx, string_agg(text, ' ' ORDER BY mid_y, x0, text) AS v FROM p WHERE row_idx IS NOT NULL AND col_idx IS NOT NULL GROUP BY ALL")
 def _(spark, sf_dir):
-    n = D.query(spark, sf_dir, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 1 AS page, n_name, n_nationkey FROM nation")
-    word = lambda x, y, text, conf: F.struct(F.lit(x).alias("x0"), F.lit(x + 10.0).alias("x1"), F.lit(y).alias("mid_y"), text.cast("string").alias("text"), F.lit(conf).alias("conf"))
-    said = [w for r in (0, 1) for w in (word(5.0, 10.0 + 20 * r, F.col("n_name"), 90.0), word(105.0, 10.0 + 20 * r, F.col("n_nationkey") + r, 80.0), word(125.0, 10.0 + 20 * r, F.lit("x"), 41.0), word(150.0, 10.0 + 20 * r, F.lit("noise"), 10.0))]
-    w = n.select("doc_id", "page", F.explode(F.array(*said)).alias("w")).select("doc_id", "page", "w.*")
-    span = lambda name, *pairs: n.select("doc_id", "page", F.explode(F.array(*(F.struct(F.lit(k).alias(name), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi) in enumerate(pairs)))).alias("s")).select("doc_id", "page", "s.*")
-    return G.recover_cells(w, span("col_idx", (0.0, 90.0), (100.0, 190.0)), span("row_idx", (0.0, 18.0), (22.0, 40.0))).select("doc_id", "row_idx", "col_idx", "v")
+    w = D.query(spark, sf_dir, READ_WORDS)
+    pages = w.select("doc_id", "page").distinct()
+    spans = lambda name, ranges: pages.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias(name), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi) in enumerate(ranges)))).alias("s")).select("doc_id", "page", "s.*")
+    return G.recover_cells(w, spans("col_idx", READ_COLUMNS), spans("row_idx", READ_ROWS)).select("doc_id", "row_idx", "col_idx", "v")
 
 
 # -- sources ----------------------------------------------------------------------------------------
@@ -799,11 +815,17 @@ def _(spark, sf_dir):
     return D.query(spark, sf_dir, "SELECT * FROM nation").select("n_nationkey", X.translate(t, [("कुल", "Total")], [("जिला", "District")], [("योग", "Yoga")]).alias("english"))
 
 
-@query("f11_repair_state", "SELECT n_nationkey, ['Haryana Key Indicators', 'Tamil Nadu Key Indicators', 'Kerala Key Indicators', 'Orders by Zone'][1 + n_nationkey % 4] AS name FROM nation")
+_NAMED = (*X.STATES, *X.STATE_FRAGMENTS)
+#: Every state, whole and without up to four of its first letters, and the known fragments, before three endings.
+CUT_STATES = f"""SELECT p_partkey, substr(CASE p_partkey % {len(_NAMED)} {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_NAMED))} END, 1 + CAST(floor(p_partkey / {len(_NAMED)}) AS INT) % 5)
+ || CASE p_partkey % 4 WHEN 0 THEN ' Key Indicators' WHEN 1 THEN ' key indicators' WHEN 2 THEN ' Indicators' ELSE ' Report' END AS t FROM part"""
+
+
+@query("f11_repair_state", f"""WITH n AS ({CUT_STATES}), l AS (SELECT *, trim(lower(regexp_replace(t, '(?i)( key)? indicators$', ''))) AS low, [{', '.join(f"'{x}'" for x in X.STATES)}] AS states FROM n),
+ f AS (SELECT *, CASE low {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in X.STATE_FRAGMENTS.items())} ELSE list_filter(states, lambda x: ends_with(lower(x), low) AND length(low) >= 3)[1] END AS whole FROM l)
+ SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 OR whole IS NULL OR list_contains(list_transform(states, lambda x: lower(x)), low) THEN t ELSE whole || ' Key Indicators' END AS name FROM f""")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey") % 4
-    t = F.when(k == 0, "ryana Key Indicators").when(k == 1, "Tam Nadu Key Indicators").when(k == 2, "Kerala Key Indicators").otherwise("Orders by Zone")
-    return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", X.repair_state(t).alias("name"))
+    return D.query(spark, sf_dir, CUT_STATES).select("p_partkey", X.repair_state(F.col("t")).alias("name"))
 
 
 @query("f13_slug_and_eta", "SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 42) AS slug, CAST(floor(p_size * 37 / 60) AS INT) || 'm ' || lpad(CAST(p_size * 37 % 60 AS VARCHAR), 2, '0') || 's' AS eta FROM part")
@@ -861,18 +883,25 @@ def _(spark, sf_dir):
     return t.select(*KEYS, F.posexplode(M.by_column(F.col("rows"), lambda v, i: F.coalesce(N.is_serial_run(R.non_empty(v)), F.lit(False)))).alias("col_idx", "serial"))
 
 
-@query("s10_grouped_names", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'indicator|nfhs6_urban|nfhs6_rural|nfhs5_total' ELSE 'Area|Urban|Rural|Total' END AS names FROM nation")
+#: Four names in every combination of a wave with and without a part, a part alone, and neither.
+WAVES = "SELECT 0 AS doc_id, p_partkey AS table_id, 0 AS row_idx, " + ", ".join(
+    f"CASE CAST(floor(p_partkey / {5**k}) AS INT) % 5 WHEN 0 THEN 'NFHS-' || CAST((p_partkey + {k}) % 6 + 1 AS STRING) || ' Urban' WHEN 1 THEN 'Rural' WHEN 2 THEN 'TOTAL' WHEN 3 THEN 'Area' ELSE 'nfhs ' || CAST((p_partkey + {k}) % 4 + 2 AS STRING) END AS c{k}" for k in range(4)
+) + " FROM part"
+
+
+@query("s10_grouped_names", f"""WITH {D.long(WAVES, 4)}, w AS (SELECT table_id, col_idx, v, nullif(regexp_extract(lower(v), 'nfhs[- ]([0-9])', 1), '') AS wave, CASE WHEN contains(lower(v), 'urban') THEN '_urban' WHEN lower(v) IN ('rural', 'total') THEN '_' || lower(v) ELSE '' END AS part FROM cells),
+ l AS (SELECT *, last_value(wave IGNORE NULLS) OVER (PARTITION BY table_id ORDER BY col_idx) AS now, count(wave) OVER (PARTITION BY table_id) AS waves FROM w)
+ SELECT table_id, string_agg(CASE WHEN waves = 0 THEN v WHEN col_idx = 0 THEN 'indicator' WHEN now IS NULL THEN v ELSE 'nfhs' || now || part END, '|' ORDER BY col_idx) AS names FROM l GROUP BY table_id""")
 def _(spark, sf_dir):
-    names = F.when(F.col("n_nationkey") % 2 == 0, F.array(*map(F.lit, ("Indicators", "NFHS-6 Urban", "Rural", "NFHS-5 Total")))).otherwise(F.array(*map(F.lit, ("Area", "Urban", "Rural", "Total"))))
-    return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", F.array_join(RD.rename_grouped(names), "|").alias("names"))
+    return D.query(spark, sf_dir, WAVES).select("table_id", F.array_join(RD.rename_grouped(F.array("c0", "c1", "c2", "c3")), "|").alias("names"))
 
 
-@query("s9b_lower_corruption", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'again' ELSE 'first' END AS pick FROM nation")
+@query("s9b_lower_corruption", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount * 5 >= 0.3::DOUBLE AND l_returnflag <> 'A' AND l_tax * 6 < l_discount * 5 THEN 'again' ELSE 'first' END AS pick FROM lineitem")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey") % 3
-    score = lambda x, d: F.struct(x.cast("double").alias("score"), d.alias("dominant"))
-    before = score(F.when(k == 2, 0.2).otherwise(0.6), F.when(k == 1, "deva").otherwise("kruti"))
-    return D.query(spark, sf_dir, "SELECT n_nationkey FROM nation").select("n_nationkey", RD.pick_lower_corruption(before, score(F.lit(0.1), F.lit("kruti")), F.lit("first"), F.lit("again")).alias("pick"))
+    score = lambda x, d: F.struct(x.alias("score"), d.alias("dominant"))
+    before = score(F.col("l_discount") * 5, F.when(F.col("l_returnflag") == "A", "deva").otherwise("kruti"))
+    pick = RD.pick_lower_corruption(before, score(F.col("l_tax") * 6, F.lit("kruti")), F.lit("first"), F.lit("again"))
+    return D.query(spark, sf_dir, "SELECT * FROM lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pick.alias("pick"))
 
 
 # -- the whole chain --------------------------------------------------------------------------------
