@@ -5,16 +5,21 @@ r"""Exact Jaccard join of documents on word n-grams, as a join in a metric space
    documents per hash, and documents without the share are alone. (Bucket and 32 further bits name a
    hash here; a collision only lets a document through.)
 2. Equal sets collapse to their smallest id.
-3. Islands. Shingles are ordered by how many of the remaining sets hold them; a linked pair shares one of
-   each side's first n - ceil(similarity * n) + 1 (prefix filter). Connected components over them are
-   islands: no link leaves one.
+3. Islands. The screen is repeated on the remaining sets, as copies no longer vouch for each other. Shingles are
+   ordered by how many of these sets hold them; a linked pair shares one of each side's first
+   n - ceil(similarity * n) + 1 (prefix filter). Such a candidate pair is only kept if sizes and bitmaps allow a link
+   (bits that differ are at most the shingles that differ, which is exact), so sets that share a phrase by
+   chance don't grow together. A shingle's sets are tried against the smallest id; where one fails, all their
+   pairs are tried, or beyond ``PAIRED`` sets all stay together. Connected components are islands: no link leaves one.
 4. Metric join. Jaccard distance is a metric. Pivots, no two of them within the radius, divide an island into
    Voronoi regions: a document goes to its nearest pivot and, by the triangle inequality, as a guest to
-   every pivot at most twice the radius further. Documents within the radius of a pivot are its core: they link
+   every earlier pivot at most twice the radius further (a linked pair meets at the earlier of its two pivots). Documents within the radius of a pivot are its core: they link
    with it at once and need no comparison among each other, so a region that is all core is done.
-   Regions divide again; those that pivots don't divide are dealt out as pairs of blocks. An island of at
+   Regions divide again; where a division would hand on over ``GROWTH`` times its shingles (sets far from every pivot
+   would be guests everywhere, and three rounds of that fill the disk) it is not made, and the region is
+   dealt out as pairs of blocks. An island of at
    most ``TASK_SHINGLES`` is divided inside one task, by the same pivots and windows, as handing it on would cost a
-   shuffle and save nothing: there a pivot is compared exactly with every member in its window, and a
+   shuffle and save nothing: there a pivot is compared exactly with every member in its window whose bitmap allows a link, and a
    member needs no comparison of its own once all members that the distances to earlier pivots leave
    possible are in its component already.
 5. Components of the links give the smallest reachable id.
@@ -41,9 +46,11 @@ from gridloom.llm.common import Cuts, arrow_schema, broadcast_if_small, componen
 from gridloom.llm.shingles import shingle_set
 
 SPREAD = "bucket int, chunk long, kind int, ids binary, counts binary, data binary"
-TASK_SHINGLES = 1_000_000  # some 8 MB of hashes
+TASK_SHINGLES = 3_000_000  # some 24 MB of hashes
 BUCKET_SHINGLES = 8_000_000  # hashes counted at once; with their order some 200 MB
 PIVOTS = 12
+GROWTH = 1.5  # a division must not hand on more than so many times the shingles it was given
+PAIRED = 64  # sets of a shingle of which all pairs are tried
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -221,7 +228,7 @@ def _rarity(chunks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _prefixes(chunks: DataFrame, rarity: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """``h, id``: the shared shingles of each set's prefix, rarest first."""
+    """``h, id``: the shared shingles of each set's prefix, rarest first; none of sets that don't share enough."""
     parts = rarity.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "df"))).alias("parts")).select("chunk", F.transform("parts", lambda p: p["df"]).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +236,11 @@ def _prefixes(chunks: DataFrame, rarity: DataFrame, buckets: int, percent: int)
         for _, ids, counts, h, parts in _of_chunks(batches):
             df = np.empty(len(h), np.uint32)
             df[_in_buckets(h, buckets)[0]] = np.frombuffer(b"".join(parts), np.uint32)
-            hs, docs = [], []
+            hs, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, e, c in zip(ids, np.cumsum(counts), counts):
                 own, f = h[e - c : e], df[e - c : e]
+                if 100 * np.count_nonzero(f > 1) < percent * int(c):
+                    continue
                 first = np.lexsort((own, f))[: prefix_length(int(c), percent)]
                 first = first[f[first] > 1]
                 hs.append(own[first].view(np.int64))
@@ -241,6 +250,78 @@ def _prefixes(chunks: DataFrame, rarity: DataFrame, buckets: int, percent: int)
     return chunks.join(parts, "chunk").select("chunk", "ids", "counts", "data", "parts").mapInArrow(run, "h long, id long")
 
 
+# -- candidate pairs --------------------------------------------------------------------------------
+
+
+def _places(n: int) -> int:
+    return 1 << max(6, (2 * n - 1).bit_length())
+
+
+def _bits(h: np.ndarray, places: int) -> np.ndarray:
+    bits = np.zeros(places, np.uint8)
+    bits[(h & np.uint64(places - 1)).astype(np.int64)] = 1
+    return bits
+
+
+def bitmap(h: np.ndarray) -> int:
+    """A bit for each hash, in a power of two of at least twice as many places."""
+    return int.from_bytes(np.packbits(_bits(h, _places(len(h))), bitorder="little").tobytes(), "little")
+
+
+def may_link(na: int, a: int, nb: int, b: int, percent: int) -> bool:
+    """Whether sizes and bitmaps allow a link: each bit that differs is a shingle that differs."""
+    if 100 * min(na, nb) < percent * max(na, nb):
+        return False
+    places_a, places_b = _places(na), _places(nb)
+    while places_a > places_b:
+        places_a >>= 1
+        a = (a >> places_a) | (a & ((1 << places_a) - 1))
+    while places_b > places_a:
+        places_b >>= 1
+        b = (b >> places_b) | (b & ((1 << places_b) - 1))
+    return (a ^ b).bit_count() * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def _bitmaps(chunks: DataFrame) -> DataFrame:
+    """``id, n, bits`` of packed sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("id long, n int, bits binary")
+        for _, ids, counts, h in _of_chunks(batches):
+            made = (bitmap(h[e - c : e]) for e, c in zip(np.cumsum(counts), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array([b.to_bytes(-(-b.bit_length() // 8), "little") for b in made], pa.binary())], schema=schema)
+
+    return chunks.select("chunk", "ids", "counts", "data").mapInArrow(run, "id long, n int, bits binary")
+
+
+def _tried(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """``a, b, fits`` of pairs of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("a long, b long, fits boolean")
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            fits = [may_link(na, int.from_bytes(a, "little"), nb, int.from_bytes(b, "little"), percent) for na, a, nb, b in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fits, pa.bool_())], schema=schema)
+
+    one, two = (bitmaps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long, fits boolean")
+
+
+def candidate_links(cuts: Cuts, prefixes: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` edges whose components hold all links."""
+    bitmaps = cuts.write(_bitmaps(chunks))
+    least = prefixes.groupBy("h").agg(F.min("id").alias("b"), F.count("*").alias("c")).filter("c > 1")
+    stars = cuts.write(prefixes.join(least, "h").filter("id <> b").select("h", F.col("id").alias("a"), "b", "c"))
+    tried = cuts.write(_tried(stars.select("a", "b").distinct(), bitmaps, percent))
+    mixed = cuts.write(stars.join(tried.filter("NOT fits"), ["a", "b"]).select("h", "c").distinct())
+    few = prefixes.join(mixed.filter(F.col("c") <= PAIRED).select("h"), "h")
+    pairs = few.select("h", F.col("id").alias("a")).join(few.select("h", F.col("id").alias("b")), "h").filter("a > b").select("a", "b").distinct()
+    pairs = _tried(pairs.join(tried, ["a", "b"], "left_anti"), bitmaps, percent)
+    kept = stars.join(mixed.filter(F.col("c") > PAIRED).select("h"), "h").select("a", "b")
+    return tried.filter("fits").select("a", "b").union(pairs.filter("fits").select("a", "b")).union(kept)
+
+
 # -- inside a task ----------------------------------------------------------------------------------
 
 
@@ -252,6 +333,29 @@ class Region:
         self.ends = np.cumsum(self.n)
         self.flat = np.concatenate(sets)
         self.sets = sets
+        self._maps: dict[int, np.ndarray] = {}  # by places: bitmaps of the members that have so many
+        self.places = np.array([_places(k) for k in self.n.tolist()], np.int64)
+        self.row = np.empty(len(sets), np.int64)
+        for p in np.unique(self.places).tolist():
+            mine = np.flatnonzero(self.places == p)
+            self.row[mine] = np.arange(len(mine))
+            self._maps[p] = np.vstack([np.packbits(_bits(sets[k], p), bitorder="little").view(np.uint64) for k in mine])
+            if p > 64:  # folded, to go with half as many
+                self._maps[-p] = self._maps[p][:, : p // 128] | self._maps[p][:, p // 128 :]
+
+    def may_link(self, k: int, members: np.ndarray, percent: int) -> np.ndarray:
+        """The members, all of sizes that allow a link with the k-th, whose bitmaps allow it too."""
+        p = int(self.places[k])
+        kept = []
+        for q in (p // 2, p, 2 * p):
+            mine = members[self.places[members] == q]
+            if not len(mine):
+                continue
+            maps = self._maps[-q] if q > p else self._maps[q]
+            own = self._maps[-p] if q < p else self._maps[p]
+            differ = np.bitwise_count(maps[self.row[mine]] ^ own[self.row[k]]).sum(axis=1, dtype=np.int64)
+            kept.append(mine[differ * (100 + percent) <= (self.n[mine] + self.n[k]) * (100 - percent)])
+        return np.sort(np.concatenate(kept)) if kept else members[:0]
 
     def common(self, pivot: np.ndarray, members: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of a set with members of the region."""
@@ -286,8 +390,9 @@ def join_region(region: Region, percent: int, core: np.ndarray | None = None) ->
         if not len(members):
             continue
         whole = 4 * len(members) > count and len(distances) < PIVOTS
-        if whole:
-            members = everyone
+        members = everyone if whole else region.may_link(k, members, percent)
+        if not len(members):
+            continue
         common = region.common(region.sets[k], members)
         if whole:
             distances.append(1 - common / (n + n[k] - common))
@@ -302,7 +407,7 @@ def join_region(region: Region, percent: int, core: np.ndarray | None = None) ->
 # -- regions ----------------------------------------------------------------------------------------
 
 
-_REGION = "region long, id long, set binary, core boolean, pivot long"
+_REGION = "parent long, region long, id long, n int, core boolean, pivot long"
 
 
 def _distances(h: np.ndarray, pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +417,7 @@ def _distances(h: np.ndarray, pivots: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 def _divide(cuts: Cuts, rows: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
-    """One Voronoi step. Rows with a ``set`` are members of their pivots' regions, those with a ``pivot`` links to it."""
+    """One Voronoi step. Rows with a ``region`` are members of it, those with a ``pivot`` links to it. No sets are handed on yet."""
     one = F.struct("id", "set")
     pivots = rows.groupBy("region").agg(*(F.min_by(one, F.struct(F.xxhash64("region", "id", F.lit(k)), "id")).alias(f"p{k}") for k in range(PIVOTS)))
     spread = weights.withColumn("salts", F.ceil(F.col("weight") / TASK_SHINGLES).cast("int"))
@@ -337,12 +442,12 @@ def _divide(cuts: Cuts, rows: DataFrame, weights: DataFrame, percent: int) -> Da
                     continue
                 h = np.frombuffer(s, np.uint64)
                 common, d = _distances(h, pivots)
-                core, home = linked(common, sizes, len(h), percent), d.min()
+                core, at = linked(common, sizes, len(h), percent), int(d.argmin())
                 for k in range(len(pivots)):
                     if core[k] and ids[k] != i:
-                        out.append((None, i, None, None, ids[k]))
-                    if d[k] <= home + 2 * radius:
-                        out.append((xxhash.xxh3_64_intdigest(f"{region}:{k}") >> 1, i, s, bool(core[k]), None))
+                        out.append((region, None, i, None, None, ids[k]))
+                    if k == at or k < at and d[k] <= d[at] + 2 * radius:
+                        out.append((region, xxhash.xxh3_64_intdigest(f"{region}:{k}") >> 1, i, len(h), bool(core[k]), None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -379,30 +484,41 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").select("region", "i", "j", "id", "set", "core").mapInArrow(run, "a long, b long")
 
 
+def _blocks(large: DataFrame, members: list[str]) -> DataFrame:
+    """Regions with their ``weight`` as pairs of blocks, two of which make a task's worth."""
+    blocks = F.ceil(2 * F.col("weight") / TASK_SHINGLES).cast("int")
+    dealt = large.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.select(*members, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+
 def metric_join(cuts: Cuts, regions: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """Links of ``region, id, set`` as ``a, b`` edges that have the same components as all links."""
     members = ["region", "id", "set", "core"]
+    weight = F.sum("n").alias("weight")
+    open_ = (F.count("*") > 1) & (F.sum(F.when(F.col("core"), 0).otherwise(1)) > 0)  # a region that is all core is done
     large = regions.withColumn("core", F.lit(False))
+    weights = cuts.write(large.groupBy("region").agg(F.sum(F.length("set") / 8).cast("long").alias("weight"), open_.alias("open")).filter("open").select("region", "weight"))
     rows = links = None
     for k in range(rounds + 1):
-        found = large.groupBy("region").agg(F.sum(F.length("set") / 8).alias("weight"), F.count("*").alias("members"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("ring"))
-        weights = cuts.write(found.filter("members > 1 AND ring > 0").select("region", "weight"))
         small = large.join(weights.filter(F.col("weight") <= TASK_SHINGLES), "region").select(*members, F.lit(0).alias("i"), F.lit(0).alias("j"))
         rows = small if rows is None else rows.unionByName(small)
         big = weights.filter(F.col("weight") > TASK_SHINGLES)
         if big.isEmpty():
             break
-        large = large.join(big, "region")
-        if k == rounds:  # pairs of blocks
-            blocks = F.ceil(2 * F.col("weight") / TASK_SHINGLES).cast("int")
-            mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            dealt = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            rows = rows.unionByName(dealt.select(*members, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+        large = large.join(big.select("region"), "region")
+        if k == rounds:
+            rows = rows.unionByName(_blocks(large.join(big, "region"), members))
             break
         made = _divide(cuts, large.select("region", "id", "set"), big, percent)
         direct = made.filter("pivot IS NOT NULL").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         links = direct if links is None else links.union(direct)
-        large = made.filter("pivot IS NULL").select(*members)
+        parts = cuts.write(made.filter("pivot IS NULL").groupBy("parent", "region").agg(weight, open_.alias("open")).filter("open").select("parent", "region", "weight"))
+        grown = big.join(parts.groupBy("parent").agg(F.sum("weight").alias("handed")), F.col("region") == F.col("parent")).filter(F.col("handed") > GROWTH * F.col("weight")).select("region", "weight")
+        rows = rows.unionByName(_blocks(large.join(grown, "region"), members))
+        weights = parts.join(grown.select(F.col("region").alias("parent")), "parent", "left_anti")
+        sets = large.select(F.col("region").alias("parent"), "id", "set")
+        large = cuts.write(made.filter("pivot IS NULL").join(weights.select("parent", "region"), ["parent", "region"]).join(sets, ["parent", "id"]).select(*members))
+        weights = cuts.write(weights.select("region", "weight"))
     inside = cuts.write(_join_regions(rows, percent))
     return inside if links is None else inside.union(links)
 
@@ -423,8 +539,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, id_col: st
     wanted = broadcast_if_small(reps.select(F.col("rep").alias("id"), "digest"), reps.count(), 100)
     chunks = cuts.write(_chunks(_sets_of(known, wanted, size)))
     prefixes = cuts.write(_prefixes(chunks, _rarity(chunks, buckets), buckets, percent))
-    least = prefixes.groupBy("h").agg(F.min("id").alias("m"), F.count("*").alias("c")).filter("c > 1")
-    islands = components(spark, prefixes.join(least, "h").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")), cuts)
+    islands = components(spark, candidate_links(cuts, prefixes, chunks, percent), cuts)
     regions = cuts.write(_unpacked(chunks).join(islands, F.col("id") == F.col("node")).select(F.col("component").alias("region"), "id", "set"))
     links = metric_join(cuts, regions, percent)
     comp = components(spark, links, cuts)

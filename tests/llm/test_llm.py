@@ -544,6 +544,50 @@ def test_jaccard_families(spark, monkeypatch, limit):
     assert got == brute_groups(docs)
 
 
+def test_far_members_are_not_handed_on_everywhere(spark, monkeypatch):
+    """An island of copies far from each other: divisions would hand each of them to all pivots, again and again."""
+    monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", 6_000)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[base[(own := rng.random(300) < rng.uniform(0.3, 1))], rng.integers(0, 2**63, int((~own).sum())).astype(np.uint64)]) for _ in range(150)]
+    frame_ = spark.createDataFrame([(7, k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "region long, id long, set binary")
+    handed, write = [], Cuts.write
+    monkeypatch.setattr(Cuts, "write", lambda self, df: (out := write(self, df), "set" in df.columns and handed.append(out.filter("set IS NOT NULL").count()))[0])
+    links = jaccard_join.metric_join(Cuts(spark), frame_, 75).collect()
+    assert sum(handed) <= 3 * len(sets)
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if (c := len(np.intersect1d(sets[a], sets[b]))) * 100 >= 75 * (len(sets[a]) + len(sets[b]) - c)]
+    want = unions.roots(len(sets), *np.array(near).T)
+    assert unions.roots(len(sets), *np.array([(r["a"], r["b"]) for r in links]).T).tolist() == want.tolist() and 1 < len(set(want.tolist())) < 150
+
+
+def test_shared_phrases_do_not_join_islands(spark, monkeypatch):
+    """Near copies, each pair of which shares a rare phrase with the next pair, are islands of two."""
+    rng = random.Random(13)
+    docs = []
+    for k in range(20):
+        base = [f"w{k}x{rng.randrange(10**9)}" for _ in range(100)]
+        for side in (k, k + 1):
+            own = list(base)
+            own[40:45] = [f"phrase{side}", "of", "some", "five", "words"]
+            docs.append((len(docs), " ".join(own)))
+    seen, join = [], jaccard_join.metric_join
+    monkeypatch.setattr(jaccard_join, "metric_join", lambda cuts, regions, *rest: (seen.extend(r["count"] for r in regions.groupBy("region").count().collect()), join(cuts, regions, *rest))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_groups(docs) and seen == [2] * 20
+
+
+def test_bitmaps_never_refuse_a_link():
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 40), 63, 64, 65, 127, 128, 129, 1000]:
+        a = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.sort(np.r_[a[n // 8 :], rng.integers(0, 2**63, n // 8).astype(np.uint64)])
+        for x, y in ((a, b), (a, a[: -(-3 * n // 4)])):
+            c = len(np.intersect1d(x, y))
+            assert not 100 * c >= 75 * (len(x) + len(y) - c) or jaccard_join.may_link(len(x), jaccard_join.bitmap(x), len(y), jaccard_join.bitmap(y), 75)
+            assert (jaccard_join.join_region(jaccard_join.Region(np.arange(2), [x, y]), 75)[1] == 0) == (100 * c >= 75 * (len(x) + len(y) - c))
+    assert not jaccard_join.may_link(1000, jaccard_join.bitmap(a), 1000, jaccard_join.bitmap(a ^ np.uint64(0xFFFFFF)), 75)
+
+
 # -- 10 ---------------------------------------------------------------------------------------------
 
 
