@@ -88,3 +88,16 @@ def test_stages_on_an_empty_table(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in CP.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_near_duplicates_of_shared_phrases_are_small_islands(spark, monkeypatch):
+    """The stage joins near copies by themselves, although a rare phrase leads from each pair to the next."""
+    from gridloom.llm import jaccard_join
+
+    words = lambda k, side: [f"w{k}x{j}" for j in range(40)] + [f"phrase{side}", "of", "some", "five", "words"] + [f"w{k}y{j}" for j in range(55)]
+    rows = [(2 * k + side, " ".join(words(k, k + side)), "en", "s", 1) for k in range(12) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen, join = [], jaccard_join.metric_join
+    monkeypatch.setattr(jaccard_join, "metric_join", lambda cuts, regions, *rest: (seen.extend(r["count"] for r in regions.groupBy("region").count().collect()), join(cuts, regions, *rest))[1])
+    kept = CP.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 24, 2)) and seen == [2] * 12
