@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard_join, mixture, packing, suffix_dedup, toxicity
-from gridloom.llm.common import Cuts, table
+from gridloom.llm.common import Cuts, broadcast_if_small, table
 
 
 #: What counts as a repeated passage: so many words in a row, found by anchors of so many.
@@ -39,11 +39,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*own).alias("k1"), F.xxhash64(*reversed(own)).alias("k2"))
     groups = cuts.write(jaccard_join.jaccard_groups(rows.select("k1", F.col("row.text").alias("text")), id_col="k1"))
     order = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "k1")
+    places = cuts.write(rows.groupBy("k1").agg(F.min(order).alias("place"), F.count("*").alias("n")))
     many = groups.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1")
-    members = groups.join(many, "component_id").select("k1", "component_id").join(rows.select("k1", order.alias("place")), "k1")
+    members = groups.join(many, "component_id").select("k1", "component_id").join(places.select("k1", "place"), "k1")
     first = members.groupBy("component_id").agg(F.min("place").alias("first"))
-    goes = members.join(first, "component_id").filter("k1 <> first.k1").select("k1").distinct()
-    return rows.join(goes, "k1", "left_anti").dropDuplicates(["k1", "k2"]).select("row.*")
+    goes = members.join(first, "component_id").filter("k1 <> first.k1").select("k1", F.lit(False).alias("stays"))
+    repeated = places.filter("n > 1").join(goes, "k1", "left_anti").select("k1", F.lit(True).alias("stays"))
+    touched = cuts.write(goes.union(repeated))  # all other rows stay where they are, no text is shuffled for them
+    n, again = touched.agg(F.count("*"), F.count_if("stays")).first()
+    kept = rows.join(broadcast_if_small(touched.select("k1"), n, 40), "k1", "left_anti").select("row.*")
+    if not again:
+        return kept
+    once = rows.join(broadcast_if_small(touched.filter("stays").select("k1"), again, 40), "k1", "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.union(once.select("row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -526,7 +526,7 @@ def metric_join(cuts: Cuts, regions: DataFrame, percent: int, rounds: int = 3) -
 def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id``; the id column holds integers."""
     spark = docs.sparkSession
-    cuts = Cuts(spark)
+    cuts, search, join = Cuts(spark), Cuts(spark), Cuts(spark)  # only the first is read by the result
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.filter("id is not null")
     # a word and its space are two bytes at least, and five or more on average: buckets follow the text, not the cluster
@@ -537,12 +537,13 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, id_col: st
     reps = equal.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     reps = cuts.write(reps)
     wanted = broadcast_if_small(reps.select(F.col("rep").alias("id"), "digest"), reps.count(), 100)
-    chunks = cuts.write(_chunks(_sets_of(known, wanted, size)))
-    prefixes = cuts.write(_prefixes(chunks, _rarity(chunks, buckets), buckets, percent))
-    islands = components(spark, candidate_links(cuts, prefixes, chunks, percent), cuts)
-    regions = cuts.write(_unpacked(chunks).join(islands, F.col("id") == F.col("node")).select(F.col("component").alias("region"), "id", "set"))
-    links = metric_join(cuts, regions, percent)
-    comp = components(spark, links, cuts)
+    chunks = search.write(_chunks(_sets_of(known, wanted, size)))
+    prefixes = search.write(_prefixes(chunks, _rarity(chunks, buckets), buckets, percent))
+    islands = components(spark, candidate_links(search, prefixes, chunks, percent), search)
+    regions = join.write(_unpacked(chunks).join(islands, F.col("id") == F.col("node")).select(F.col("component").alias("region"), "id", "set"))
+    search.clear()
+    comp = components(spark, metric_join(join, regions, percent), cuts)
+    join.clear()
     member = equal.join(reps.filter("w > 1"), ["n", "digest"]).select("id", "rep").filter("id <> rep")  # copies of a representative
     out = (
         counted.select("id", "n").join(member, "id", "left").withColumn("rep", F.coalesce("rep", "id"))

@@ -1,7 +1,9 @@
 """The pipeline's stages one after another, held against plain Python on the smallest documents."""
 
+import os
 import random
 import sys
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ import public_tokenizers
 
 import corpus_pipeline as CP
 from gridloom.llm import token_counts
-from gridloom.llm.common import Cuts
+from gridloom.llm.common import Cuts, shared_dir
 from tests.llm.test_llm import brute_groups, brute_words, prose
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +103,26 @@ def test_near_duplicates_of_shared_phrases_are_small_islands(spark, monkeypatch)
     monkeypatch.setattr(jaccard_join, "metric_join", lambda cuts, regions, *rest: (seen.extend(r["count"] for r in regions.groupBy("region").count().collect()), join(cuts, regions, *rest))[1])
     kept = CP.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept) == list(range(0, 24, 2)) and seen == [2] * 12
+
+
+def test_cuts_leave_no_shuffle_files(spark):
+    def shuffled():
+        return {f.getName() for f in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())) if f.getName().startswith("shuffle_")}
+
+    before, conf = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    made = Cuts(spark).write(spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count().repartition(3, "count"))
+    ends = time.time() + 20
+    while shuffled() - before and time.time() < ends:  # they go in the background
+        time.sleep(0.2)
+    assert not shuffled() - before and made.count() == 700 and spark.conf.get(conf, None) is None
+
+
+def test_near_duplicates_leave_texts_and_disk_alone(spark):
+    """Rows that stay aren't shuffled; what the search for links wrote is gone when the stage has its groups."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = CP.drop_near_duplicates(spark, docs, SF)
+    tables = [spark.read.parquet(f"{folder}/{d}/{k}") for d in set(os.listdir(folder)) - before for k in os.listdir(f"{folder}/{d}")]
+    assert len(tables) > 3 and not any({"set", "data", "bits", "h"} & set(t.columns) for t in tables)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString() and 0 < got.count() < docs.count()
