@@ -32,7 +32,6 @@ empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +87,7 @@ def _spread_texts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
             for batch in slices(whole, 1):
                 ids = np.asarray(batch.column(0))
                 sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-                rows = [(b, chunk, 1, i, c, d) for b, i, c, d in packed(ids, sets, buckets)]
+                rows = [(b, chunk, 1, i, c, d) for b, i, c, d in packed(np.arange(len(sets), dtype=np.int32), sets, buckets)]
                 digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
                 rows.append((chunk % buckets, chunk, 0, ids.tobytes(), np.array([len(s) for s in sets], np.int32).tobytes(), digests))
                 chunk += 1
@@ -122,7 +121,8 @@ def _frequencies(h: np.ndarray) -> np.ndarray:
 
 
 def _screen(spread: DataFrame, buckets: int) -> DataFrame:
-    """``id, n, digest, shared``: how many of a document's shingles others hold. Counts come back chunk by chunk."""
+    """``id, n, digest, shared``: how many of a document's shingles others hold. Counts come back chunk by chunk, by place there:
+    in many buckets nearly each shingle comes with the name of its document, which should be short."""
     ddl = "chunk long, kind int, ids binary, counts binary, data binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,21 +138,20 @@ def _screen(spread: DataFrame, buckets: int) -> DataFrame:
                     begin, end = end, end + int(counts.sum())
                     shared = np.add.reduceat((df[begin:end] > 1).astype(np.int32), np.cumsum(counts) - counts)
                     hit = shared > 0
-                    out.append((r["chunk"], 1, np.frombuffer(r["ids"], np.int64)[hit].tobytes(), shared[hit].astype(np.int32).tobytes(), b""))
+                    out.append((r["chunk"], 1, np.frombuffer(r["ids"], np.int32)[hit].tobytes(), shared[hit].astype(np.int32).tobytes(), b""))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("id long, n int, digest binary, shared long")
         for batch in batches:
             for parts in batch.column(0).to_pylist():
-                total: Counter[int] = Counter()
-                for p in parts:
-                    if p["kind"] == 1:
-                        for i, c in zip(np.frombuffer(p["ids"], np.int64).tolist(), np.frombuffer(p["counts"], np.int32).tolist()):
-                            total[i] += c
                 own = next(p for p in parts if p["kind"] == 0)
                 ids, d = np.frombuffer(own["ids"], np.int64), own["data"]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(own["counts"], np.int32)), pa.array([d[k : k + 16] for k in range(0, len(d), 16)], pa.binary()), pa.array([total[i] for i in ids.tolist()], pa.int64())], schema=schema)
+                total = np.zeros(len(ids), np.int64)
+                for p in parts:
+                    if p["kind"] == 1:
+                        total[np.frombuffer(p["ids"], np.int32)] += np.frombuffer(p["counts"], np.int32)  # a place once in each bucket
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(own["counts"], np.int32)), pa.array([d[k : k + 16] for k in range(0, len(d), 16)], pa.binary()), pa.array(total)], schema=schema)
 
     counted = spread.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, ddl)
     gathered = counted.groupBy("chunk").agg(F.collect_list(F.struct("kind", "ids", "counts", "data")).alias("parts"))  # one batch of texts

@@ -527,6 +527,14 @@ def test_jaccard_on_odd_rows(spark, odd):
     assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == [0, want[1][0]]
 
 
+def test_screen_names_documents_shortly(spark):
+    """In very many buckets nearly each shingle comes with its document's name: a hash, a place and a count, four bytes each."""
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(2**60 + k, " ".join(f"w{rng.randrange(10**9)}" for _ in range(104))) for k in range(50)], "id long, text string")
+    spread = jaccard_join._spread_texts(docs, 5000, 5).filter("kind = 1")
+    assert spread.selectExpr("sum(length(ids) + length(counts) + length(data))").first()[0] <= 12 * 5000
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 600, 100])
 def test_jaccard_families(spark, monkeypatch, limit):
     """Families of copies with growing distance; a small limit makes regions divide and fall to blocks."""
