@@ -4,7 +4,7 @@ Paragraphs are lines; long lines go on to be cut at sentence ends once 80 charac
 400 at the latest. A digest is 40 bits of a hash and a 24-bit check of them. A sketch has three tables
 of S x S cells; each distinct digest is XORed into one cell of each. The XOR of two sketches is the
 sketch of the digests that are in one of them only; a cell whose check holds gives up a digest, which leaves
-its other cells, and so on (peeling). If cells stay, both sketches are built again, larger: first for the number
+its other cells, and so on (peeling). If cells stay, the XOR of two larger ones is built from both texts' digests: first for the number
 of digests at hand, then four times that; a difference that even then resists (two digests in the same three
 cells) is counted from the digests themselves. Likeness is 1 - |difference| / (|a| + |b|).
 
@@ -36,12 +36,12 @@ def digests(text: F.Column) -> F.Column:
 
 
 def cells(d: str, s: str) -> str:
-    """SQL of the 3 * s * s cells of the digests ``d``; a filter by row of cells comes before one by cell."""
+    """SQL of the 3 * s * s cells of the digests ``d``, which are filtered by row of cells first; digests that are there twice cancel out."""
     return f"""flatten(transform(sequence(0, 2), j ->
-      transform(array(transform({d}, x -> struct(pmod(xxhash64(x, j), {s} * {s}) AS c, x AS v))), t ->
+      transform(array(transform({d}, x -> struct(cast(pmod(xxhash64(x, j), {s} * {s}) div {s} AS int) AS g, cast(pmod(xxhash64(x, j), {s}) AS int) AS l, x AS v))), t ->
         flatten(transform(sequence(0, {s} - 1), g ->
-          transform(array(filter(t, y -> y.c div {s} = g)), u ->
-            transform(sequence(0, {s} - 1), l -> aggregate(filter(u, y -> y.c % {s} = l), 0L, (acc, y) -> acc ^ y.v)))[0])))[0]))"""
+          transform(array(filter(t, y -> y.g = g)), u -> if(size(u) = 0, array_repeat(0L, {s}),
+            transform(sequence(0, {s} - 1), l -> aggregate(u, 0L, (acc, y) -> if(y.l = l, acc ^ y.v, acc)))))[0])))[0]))"""
 
 
 def peeled(x: str, s: str) -> str:
@@ -57,9 +57,9 @@ def peeled(x: str, s: str) -> str:
 def difference_size(a: str, b: str, xa: str, xb: str) -> str:
     """SQL of how many digests are in one of the columns ``a`` and ``b`` only; ``xa, xb``: their base sketches."""
     side = lambda times: f"cast(greatest({BASE}, ceil(sqrt({times} * 0.6 * (size({a}) + size({b}))))) AS int)"
-    larger = lambda times: f"transform(array({side(times)}), s -> size({peeled(f'zip_with({cells(a, 's')}, {cells(b, 's')}, (c, e) -> c ^ e)', 's')}))[0]"
+    larger = lambda times: f"transform(array({side(times)}), s -> size({peeled(cells(f'concat({a}, {b})', 's'), 's')}))[0]"
     first = f"size({peeled(f'zip_with({xa}, {xb}, (c, e) -> c ^ e)', str(BASE))})"
-    known = lambda q: f"nullif({q}, -1)"  # noqa: E731  size(NULL) is -1 or NULL
+    known = lambda q: f"transform(array({q}), z -> if(z >= 0, z, NULL))[0]"  # noqa: E731  size(NULL) is -1 or NULL; nullif would peel twice
     return f"coalesce({known(first)}, {known(larger(1))}, {known(larger(4))}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
 
 

@@ -448,6 +448,24 @@ def test_sketches_of_shared_ids(spark):
     assert [r["edited_sha256"] for r in got if r["doc_id"] == 1][0] in {edited(text[1], t) for i, t in texts if i == 7}
 
 
+def test_each_peeling_is_evaluated_once(spark):
+    """A failed attempt may not be made again to tell that it failed."""
+    lists = spark.createDataFrame([([1], [2], [0] * 48, [0] * 48)], "a array<long>, b array<long>, xa array<long>, xb array<long>")
+    plan = lists.select(F.expr(sketches.difference_size("a", "b", "xa", "xb")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("-16777216") == 3  # the check of a cell, once in each of the three attempts
+
+
+def test_sketch_of_both_lists_is_the_xor(spark):
+    rng = random.Random(28)
+    draw = lambda n: [rng.getrandbits(63) for _ in range(n)]
+    common = draw(30)
+    lists = spark.createDataFrame([(common + draw(9), common + draw(40)), ([], draw(3)), (common, common), ([], [])], "a array<long>, b array<long>")
+    for side in ("4", "7"):
+        both = f"zip_with({sketches.cells('a', side)}, {sketches.cells('b', side)}, (c, e) -> c ^ e)"
+        for r in lists.select(F.expr(both).alias("x"), F.expr(sketches.cells("concat(a, b)", side)).alias("y")).collect():
+            assert r["x"] == r["y"] and len(r["y"]) == 3 * int(side) ** 2
+
+
 def test_sketch_without_ids(spark):
     assert sketches.fingerprints(frame(spark, [(None, "abc. def")])).first()["n_chars"] == 8
 
