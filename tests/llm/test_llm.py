@@ -701,3 +701,30 @@ def test_empty_tables(spark):
         vector_links.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ]
     assert all(r.count() == 0 for r in results)
+
+
+# -- batches to the workers ---------------------------------------------------------------------------
+
+
+@pytest.fixture
+def batch_bytes(spark):
+    """The session's own size of a batch, put back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    yield key
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_workers_get_small_batches(spark, batch_bytes):
+    import pyarrow as pa
+
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghij"), 1000).alias("text"))
+    held = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches), "rows long, size long")
+    assert held.agg(F.max("size")).first()[0] > 20_000_000
+    suffix_dedup.without_repeats(docs.limit(2))  # its rows take their batches when they are read
+    rows = held.collect()
+    assert sum(r["rows"] for r in rows) == 2500 and max(r["size"] for r in rows) < 8_000_000
+    spark.conf.set(batch_bytes, "1000000")
+    suffix_dedup.without_repeats(docs.limit(2))
+    assert spark.conf.get(batch_bytes) == "1000000"
