@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import jaccard_join, mixture, packing, suffix_dedup, toxicity
-from gridloom.llm.common import Cuts, broadcast_if_small, table
+from gridloom.llm.common import Cuts, broadcast_if_small, small_batches, table
 
 
 #: What counts as a repeated passage: so many words in a row, found by anchors of so many.
@@ -25,6 +25,7 @@ PASSAGE_WORDS, ANCHOR_WORDS = 51, 10
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; trained on all labels. Null and empty texts stay
     (they have no hits), repeated rows share their fate, a null id only lacks a label."""
+    small_batches(spark)
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
     return toxicity.toxicity(rows, lexicon, id_col="row", text_col="t").filter("predicted = 0").select("row.*")
@@ -33,6 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id stays (null ids last, then the smallest hash of
     id and text), so reruns agree. Rows equal in id and text become one; null and empty texts are near to nothing."""
+    small_batches(spark)
     cuts = Cuts(spark)
     name = F.col("doc_id").cast("string")
     own = [F.isnull(name), name, F.isnull("text"), F.col("text")]  # xxhash64 passes over nulls
@@ -72,6 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows; few words are kept, as the workers hold what earlier stages keep. Null and empty texts have
     their end id only."""
+    small_batches(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=50_000)
 
 

@@ -728,3 +728,14 @@ def test_workers_get_small_batches(spark, batch_bytes):
     spark.conf.set(batch_bytes, "1000000")
     suffix_dedup.without_repeats(docs.limit(2))
     assert spark.conf.get(batch_bytes) == "1000000"
+
+
+def test_pipeline_stages_get_small_batches(spark, batch_bytes):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "mixture":  # starts no Python
+            spark.conf.unset(batch_bytes)
+            stage(spark, docs, SF)
+            assert spark.conf.get(batch_bytes) == "7900000", name
